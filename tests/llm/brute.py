@@ -55,3 +55,33 @@ def components(ids, prints, radius=3):
                 p, q = find(ids[a]), find(ids[b])
                 root[max(p, q)] = min(p, q)
     return {i: find(i) for i in ids}
+
+
+def spans(text, patterns):
+    """(start, kind, end) of each kind's matches that pass its test, in code points."""
+    found = []
+    for kind, (pattern, test) in enumerate(patterns):
+        found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text or "") if test(m)]
+    return sorted(found)
+
+
+def digits(text):
+    return [int(c) for c in text if c in "0123456789"]
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(reversed(d))) % 10 == 0
+
+
+PERSONAL = (
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m[0])) <= 15),
+)
+_WORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
+SECRET = (
+    (rf"({_WORDS}|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[2]) >= 6),
+    (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+    (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+)
