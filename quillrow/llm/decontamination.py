@@ -121,24 +121,40 @@ class Index:
         found = np.minimum(np.searchsorted(self.gram, g[at]), len(self.gram) - 1)
         hit = self.gram[found] == g[at]
         at, found = at[hit], found[hit]
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         many = self.start[found + 1] - self.start[found]
         where = np.repeat(self.start[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         item = self.item[where]
         place = self.place[where]
         band = (np.repeat(at, many) - place) // (self.edits[item] + 1)
-        key = np.concatenate([(item << 40) + band + (1 << 38), (item << 40) + band - 1 + (1 << 38)])
-        # bands with enough hits, then with enough distinct places of the passage
-        order = np.argsort(key, kind="stable")
-        key, place = key[order], np.concatenate([place, place])[order]
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        count = np.diff(np.append(cut, len(key)))
-        live = np.repeat(count >= self.least[key[cut] >> 40], count)
-        key, place = key[live], place[live]
+        # how many hits each narrow band has; a wide band is a narrow one and the next
+        own = (item << 40) + band + (1 << 38)
+        order = np.argsort(own)
+        narrow = own[order]
+        cut = np.flatnonzero(np.append(True, narrow[1:] != narrow[:-1]))
+        count = np.diff(np.append(cut, len(narrow)))
+        first = narrow[cut]
+        follows = np.append(first[1:] == first[:-1] + 1, False)
+        full = count + np.where(follows, np.append(count[1:], 0), 0) >= self.least[first >> 40]
+        if not full.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        wide = first[full]
+        # hits of those bands and of the next ones
+        needed = full | np.append(False, (full & follows)[:-1])
+        part = order[np.repeat(needed, count)]
+        own, place = own[part], place[part]
+        # of bands with enough hits, those with enough distinct places of the passage
+        keys, places = [], []
+        for k in (own, own - 1):
+            held = np.isin(k, wide)
+            keys.append(k[held])
+            places.append(place[held])
+        key, place = np.concatenate(keys), np.concatenate(places)
         order = np.lexsort((place, key))
         key, place = key[order], place[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))[: len(key)]
-        key = key[new]
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        key = key[np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))]
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         count = np.diff(np.append(cut, len(key)))
         key = key[cut]
         full = count >= self.least[key >> 40]
