@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -50,3 +51,13 @@ def _clean() -> None:
             drop(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             return
+
+
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop the shuffle files of plans that are no longer referred to.
+
+    The cleaner follows the driver's garbage collections, which may be hours apart; after a phase
+    has been written to the shared folder its shuffle files are of no more use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -98,3 +98,22 @@ def base_scores(rows, folds=10):
     total = sum(count.values())
     score = lambda ws: sum(math.log10((count[w] + 0.1) / (total + 0.1 * (len(count) + 1))) for w in ws)
     return {i: (len(ws), sum(w in count for w in ws), total, score(ws)) for i, ws in tokens.items()}
+
+
+def repeats(rows, length=100):
+    """rows: (doc_id, text).  doc_id -> n_bytes, n_removed, n_spans, kept_sha256."""
+    import hashlib
+
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        body = (text or "").encode()
+        gone = bytearray(len(body))
+        for s in range(len(body) - length + 1):
+            w = body[s : s + length]
+            if w in seen:
+                gone[s : s + length] = b"\1" * length
+            seen.add(w)
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(body, gone) if not g)
+        out[i] = (len(body), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
