@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,7 +58,10 @@ def release(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of plans that are no longer referred to.
 
     The cleaner follows the driver's garbage collections, which may be hours apart; after a phase
-    has been written to the shared folder its shuffle files are of no more use.
+    has been written to the shared folder its shuffle files are of no more use.  The first round
+    lets go of what Python holds in the JVM, the second of the plans that only hung on that.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
