@@ -159,7 +159,8 @@ def encoded(df: DataFrame, fmt: Format, columns: list[str] | None = None, *, nam
     """Each row as one record, as bytes in a column ``name``."""
     kinds = {f.name: f.dataType for f in df.schema}
     columns = columns or df.columns
-    binary = any(isinstance(kinds[c], T.BinaryType) for c in columns)
+    # a format that escapes outside quotes escapes the first byte of a leading mark, so it needs bytes
+    binary = bool(fmt.escape.anywhere) or any(isinstance(kinds[c], T.BinaryType) for c in columns)
     values = []
     for c in columns:
         v = text_of(F.col(f"`{c}`"), kinds[c])

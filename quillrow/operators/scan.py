@@ -33,8 +33,8 @@ BLOCK = 4 << 20
 
 def ddl(wanted: Wanted) -> str:
     kind = "string" if wanted.text else "binary"
-    own = f"fields array<{kind}>" if wanted.columns is None else ", ".join(f"`{n}` {kind}" for n in wanted.names)
-    return own + (f", _loc {LOCATION_TYPE}" if wanted.location else "")
+    own = [f"fields array<{kind}>"] if wanted.columns is None else [f"`{n}` {kind}" for n in wanted.names]
+    return ", ".join(own + ([f"_loc {LOCATION_TYPE}"] if wanted.location else []))
 
 
 def wanted_of(names: list[str] | None, columns: list[int | str] | None, predicate: Predicate | None, text: bool, location: bool) -> Wanted:
@@ -206,8 +206,7 @@ class Document:
                     part = Part(row["path"], row["start"], row["end"], row["record"], row["line"], row["first"])
                     for _, error in parsed_part(part, fmt, options, expected):
                         if error is not None:
-                            at = error.location
-                            yield pa.RecordBatch.from_pydict({"path": [part.path], "error": [{"kind": error.kind, "byte": at.byte, "line": at.line, "record": at.record, "field": at.field}]})
+                            yield pa.RecordBatch.from_arrays([pa.array([part.path]), _error_value(error)], ["path", "error"])
 
         found = self._splits().mapInArrow(run, f"path string, error {ERROR_TYPE}")
         return found.groupBy("path").agg(F.min_by("error", F.col("error.byte")).alias("error")).select("path", "error.*")
@@ -217,6 +216,14 @@ class Document:
         return self.scan(columns=[], text=False, location=True).select("_loc.*")
 
 
+_ERROR = pa.struct([("kind", pa.string()), *((n, pa.int64()) for n in ("byte", "line", "record", "field"))])
+
+
+def _error_value(error: QuillError) -> pa.Array:
+    at = error.location
+    return pa.array([{"kind": error.kind, "byte": at.byte, "line": at.line, "record": at.record, "field": at.field}], _ERROR)
+
+
 def _before(fields, byte: int):
     """The records that begin before a byte."""
     n = int(np.searchsorted(fields.start, byte, "left"))
@@ -286,7 +293,6 @@ def parse_documents(df: DataFrame, column: str, fmt: Format = CSV, options: Pars
     kind = "string" if text else "binary"
     schema = ", ".join([*(f"`{k}` {own[k]}" for k in keep), f"fields array<{kind}>, _loc {LOCATION_TYPE}, _error {ERROR_TYPE}"])
     wanted = Wanted(None, (), None, None, text, True)
-    error_type = pa.struct([("kind", pa.string()), *((n, pa.int64()) for n in ("byte", "line", "record", "field"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -299,11 +305,9 @@ def parse_documents(df: DataFrame, column: str, fmt: Format = CSV, options: Pars
                 fields = _without_header(fields, options.headers is True)
                 out, kept = batch(fields, wanted)
                 n = len(kept)
-                columns = [*out.columns, pa.nulls(n, error_type)]
+                columns = [*out.columns, pa.nulls(n, _ERROR)]
                 if error is not None:
-                    at = error.location
-                    extra = [pa.nulls(1, c.type) for c in out.columns]
-                    extra.append(pa.array([{"kind": error.kind, "byte": at.byte, "line": at.line, "record": at.record, "field": at.field}], error_type))
+                    extra = [*(pa.nulls(1, c.type) for c in out.columns), _error_value(error)]
                     columns = [pa.concat_arrays([a, b]) for a, b in zip(columns, extra)]
                     n += 1
                 same = [pa.concat_arrays([rows.column(k).slice(i, 1)] * n) if n else rows.column(k).slice(0, 0) for k in keep]

@@ -99,6 +99,8 @@ def parse(data: np.ndarray, fmt: Format, options: ParseOptions, expected: int |
         opening = parity[quotes] == 1
         opens, closes = quotes[opening], quotes[~opening]
         doubled = following[closes + 1] == quote
+        if fmt.escape.style != "double_quote" and doubled.any():
+            return None
         if not (doubled | finishes[closes + 1]).all():
             return None
         again = np.append(False, data[:-1] == quote)[opens]
