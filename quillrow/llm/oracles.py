@@ -37,5 +37,43 @@ FROM shares
 """
 
 
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
+
+QUALITY = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, source IS NULL AS hostless, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(t, '{_WORD}') AS ws FROM d)),
+wc AS (SELECT r, count(*) AS n, sum(length(w)) AS c FROM w GROUP BY r),
+tri AS (SELECT r, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS c FROM tri WHERE w3 IS NOT NULL) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM hit) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+lw AS (
+  SELECT r, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
+    substr(md5(regexp_replace(translate(line, '{_UPPER}', '{_LOWER}'), '[^a-z0\\x{{80}}-\\x{{10FFFF}}]', '', 'g')), 1, 16) AS h
+  FROM l WHERE regexp_matches(line, '{_WORD}')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r),
+dl AS (SELECT r, h, sum(n) AS n FROM lw GROUP BY r, h),
+rk AS (
+  SELECT r, min(h) AS least, max(CASE WHEN k = 2 THEN h END) AS second
+  FROM (SELECT r, h, row_number() OVER (PARTITION BY r ORDER BY h) AS k FROM dl) GROUP BY r),
+hosts AS (SELECT host, hostless, count(DISTINCT coalesce(least, '') || '/' || coalesce(second, '')) AS documents FROM d LEFT JOIN rk USING (r) GROUP BY host, hostless),
+held AS (
+  SELECT host, hostless, h, count(*) AS held_by
+  FROM (SELECT DISTINCT host, hostless, h, CASE WHEN h = least THEN coalesce(second, '') ELSE least END AS other FROM dl JOIN rk USING (r) JOIN d USING (r))
+  GROUP BY host, hostless, h),
+freq AS (SELECT host, hostless, h FROM held JOIN hosts USING (host, hostless) WHERE held_by > 10 AND held_by > documents * 0.01e0),
+gone AS (SELECT r, sum(n) AS n FROM dl JOIN d USING (r) JOIN freq USING (host, hostless, h) GROUP BY r),
+base AS (
+  SELECT doc_id, CAST(coalesce(wc.n, 0) AS BIGINT) AS n_words, CAST(coalesce(wc.c, 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS frequent_words
+  FROM d LEFT JOIN wc USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND n_words - frequent_words >= n_words * 0.3e0 AS kept FROM failed
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": MIXING}
+    return {"op1_quality_rules": QUALITY, "op8_source_mixing": MIXING}
