@@ -198,11 +198,11 @@ def decode_strict_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _samples(spark, sf_dir).select("k", "s", D.integer(s, "byte", "null").alias("i8"), D.integer(s, "long", "null").alias("i64"), D.integer(s, "u8", "null").alias("u8"), D.integer(s, "u64", "null").alias("u64"))
 
 
-@_register("decode_strict_float", _SAMPLE_SQL + "SELECT k, s, CASE WHEN regexp_full_match(s, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(TRY_CAST(s AS DOUBLE) AS DECIMAL(38,6)) END AS f64, regexp_full_match(lower(s), '[+-]?(inf|infinity|nan)') AS special FROM x")
+@_register("decode_strict_float", _SAMPLE_SQL + "SELECT k, s, CASE WHEN regexp_full_match(s, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') AND abs(TRY_CAST(s AS DOUBLE)) < 1e15 THEN CAST(TRY_CAST(s AS DOUBLE) AS DECIMAL(38,6)) END AS f64, regexp_full_match(lower(s), '[+-]?(inf|infinity|nan)') AS special FROM x")
 def decode_strict_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = D.floating(F.col("s"), "double", "null")
     special = F.coalesce(F.isnan(f) | (f == F.lit(float("inf"))) | (f == F.lit(float("-inf"))), F.lit(False))
-    return _samples(spark, sf_dir).select("k", "s", F.when(~special, f).cast("decimal(38,6)").alias("f64"), special.alias("special"))
+    return _samples(spark, sf_dir).select("k", "s", F.when(~special & (F.abs(f) < 1e15), f).cast("decimal(38,6)").alias("f64"), special.alias("special"))
 
 
 @_register("decode_strict_bool", _SAMPLE_SQL + "SELECT k, s, CASE WHEN s IN ('true', '1') THEN true WHEN s IN ('false', '0') THEN false END AS b, CASE WHEN length(s) = 1 THEN s END AS c FROM x")
