@@ -28,6 +28,12 @@ def integer(text: Column, kind: str = "long", on_error: str = "fail") -> Column:
     """
     unsigned = kind in _UNSIGNED
     spark, bits = (_UNSIGNED if unsigned else _SIGNED)[kind]
+    # digits that can't leave the range are cast at once; the rest is looked at more closely
+    few = len(str(2 ** (bits - 1))) - 1
+    return F.when(text.rlike(rf"^[0-9]{{1,{few}}}\z"), text.try_cast(spark)).otherwise(_wide_integer(text, unsigned, spark, bits, on_error))
+
+
+def _wide_integer(text: Column, unsigned: bool, spark: str, bits: int, on_error: str) -> Column:
     form = text.rlike(r"^\+?[0-9]+\z" if unsigned else r"^[+-]?[0-9]+\z")
     # leading zeros don't count towards the range
     short = F.regexp_replace(text, r"^([+-]?)0+([0-9])", "$1$2")

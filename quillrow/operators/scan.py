@@ -25,10 +25,10 @@ from ..plans.projection import resolve
 from ..sources import files
 from ..sources.blocks import Wanted, batch, read_block
 from ..sources.parser import Parser
-from ..sources.split import CHUNK, SMALL, Part, plan
+from ..sources.split import Part, plan
 
-#: Bytes parsed at once within a part.
-BLOCK = 4 << 20
+#: Bytes read at once within a part, and bytes parsed at once, which a core's cache should hold.
+READ, BLOCK = 8 << 20, 1 << 20
 
 
 def ddl(wanted: Wanted) -> str:
@@ -83,40 +83,47 @@ def read_headers(path: str, fmt: Format, options: ParseOptions) -> tuple[list[st
     return (list(options.headers) if isinstance(options.headers, tuple) else None), len(first.fields)
 
 
-def parsed_part(part: Part, fmt: Format, options: ParseOptions, expected: int | None, block: int = BLOCK) -> Iterator[tuple]:
-    """(fields, error) of the blocks of a part; the header record is dropped by the caller's count.
+def parsed_part(part: Part, fmt: Format, options: ParseOptions, expected: int | None, read: int = READ, block: int = BLOCK) -> Iterator[tuple]:
+    """(fields, error) of the blocks of a part, up to its first error; the header record included.
 
     Blocks are cut at the last record end that quote parity allows; a format that can't be cut so
     is parsed as one block.
     """
-    at, record, line = part.start, part.record, part.line
-    first = part.first
-    whole = fmt.unsplittable() is not None
-    held = b""
-    while at < part.end or held:
-        if whole:
-            data, rest = files.read(part.path, part.start, part.end - part.start), b""
-            at = part.end
-        else:
-            data = held + files.read(part.path, at, min(block, part.end - at))
-            at = min(part.end, at + block)
-            cut = _last_end(data, fmt) if at < part.end else len(data)
-            if cut == 0 and at < part.end:
-                held = data
-                continue
-            data, rest = data[:cut], data[cut:]
-        begin = at - len(rest) - len(data)
+    begin, record, line, first = part.start, part.record, part.line, part.first
+    for data in _blocks(part, fmt, read, block):
         fields, error = read_block(data, fmt, options, offset=begin, line=line, record=record, expected=expected, first=first)
         yield fields, error
         if error is not None:
             return
         if expected is None and options.field_count == MATCH_FIRST and len(fields.records) > 1:
             expected = int(fields.records[1] - fields.records[0])
+        begin += len(data)
         record += len(fields.records) - 1
         line += data.count(b"\n")
-        first, held = False, rest
-        if whole:
-            return
+        first = False
+
+
+def _blocks(part: Part, fmt: Format, read: int, block: int) -> Iterator[bytes]:
+    """The part's bytes, cut at record ends."""
+    if fmt.unsplittable():
+        yield files.read(part.path, part.start, part.end - part.start)
+        return
+    at, held = part.start, b""
+    while at < part.end or held:
+        held += files.read(part.path, at, min(read, part.end - at))
+        at = min(part.end, at + read)
+        done, size = 0, block
+        while done < len(held):
+            last = at == part.end and done + size >= len(held)
+            cut = len(held) - done if last else _last_end(held[done : done + size], fmt)
+            if cut:
+                yield held[done : done + cut]
+                done, size = done + cut, block
+            elif done + size >= len(held):
+                break  # the record goes on in what is still to be read
+            else:
+                size *= 2
+        held = held[done:]
 
 
 def _last_end(data: bytes, fmt: Format) -> int:
@@ -150,7 +157,7 @@ class Document:
     width: int | None
 
     @classmethod
-    def open(cls, spark: SparkSession, paths: str | list[str], fmt: Format = CSV, options: ParseOptions | None = None, small: int = SMALL, chunk: int = CHUNK) -> Document:
+    def open(cls, spark: SparkSession, paths: str | list[str], fmt: Format = CSV, options: ParseOptions | None = None, small: int | None = None, chunk: int | None = None) -> Document:
         options = options or ParseOptions()
         parts = plan(spark, paths, fmt, small, chunk)
         names, width = read_headers(parts[0].path, fmt, options) if parts else (None, None)

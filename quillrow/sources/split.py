@@ -18,9 +18,9 @@ from pyspark.sql import SparkSession
 from ..plans.formats import Format
 from . import files
 
-#: Files up to this size are one part.
-SMALL = 32 << 20
-CHUNK = 16 << 20
+#: Parts are of this many bytes, or of fewer where the input is small beside the cluster, but of no
+#: fewer than LEAST; files of up to two parts' size are left whole.
+CHUNK, LEAST = 64 << 20, 1 << 20
 _PROBE = "path string, start bigint, quotes bigint, lf bigint, ends0 bigint, first0 bigint, ends1 bigint, first1 bigint"
 
 
@@ -49,9 +49,12 @@ def probe(data: bytes, fmt: Format) -> tuple[int, int, int, int, int, int]:
     return int(step.sum(dtype=np.int64)), int((array == 10).sum()), *out
 
 
-def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int = SMALL, chunk: int = CHUNK) -> list[Part]:
+def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int | None = None, chunk: int | None = None) -> list[Part]:
     """Parts of all files.  Files of formats that can't be split are one part each."""
     found = list(files.listed(paths))
+    if chunk is None:
+        chunk = min(CHUNK, max(LEAST, sum(n for _, n in found) // (2 * spark.sparkContext.defaultParallelism)))
+    small = 2 * chunk if small is None else small
     whole = [(p, n) for p, n in found if n <= small or fmt.unsplittable()]
     parts = [Part(p, 0, n, 0, 1, True) for p, n in whole]
     large = [(p, n) for p, n in found if n > small and not fmt.unsplittable()]

@@ -83,13 +83,16 @@ def parse(data: np.ndarray, fmt: Format, options: ParseOptions, expected: int |
     last = np.append(ends_record, False)
     if ends_record.size and ends_record[-1] and at[-1] == n - 1:
         start, end, last = start[:-1], end[:-1], last[:-1]
-    keep = np.ones(n, bool)
-    keep[at] = False
+    keep = ~structural
+    gone = []  # sorted places of what else is dropped
     if fmt.record_ending in (NEWLINE, CRLF):
-        own = last & (end > start)
-        own[own] = data[end[own] - 1] == 13
-        end = end - own
-        keep[end[own]] = False
+        at_end = np.flatnonzero(last & (end > start))
+        at_end = at_end[data[end[at_end] - 1] == 13]
+        if len(at_end):
+            end = end.copy()
+            end[at_end] -= 1
+            gone.append(end[at_end])
+            keep[end[at_end]] = False
     if parity is not None:
         begins = np.zeros(n + 1, bool)
         begins[start] = True
@@ -106,13 +109,18 @@ def parse(data: np.ndarray, fmt: Format, options: ParseOptions, expected: int |
         again = np.append(False, data[:-1] == quote)[opens]
         if not (begins[opens] | again).all():
             return None
-        keep[opens[begins[opens] & ~(again & ~begins[opens])]] = False
-        keep[closes] = False
+        for dropped in (opens[begins[opens]], closes):
+            gone.append(dropped)
+            keep[dropped] = False
     if (np.diff(np.append(start, n)).max(initial=0)) > options.limits.field_bytes:
         return None
-    kept = np.zeros(n + 1, np.int64)
-    np.cumsum(keep, out=kept[1:])
-    offsets = np.append(kept[start], kept[n])
+    values = data[keep]
+    # a field begins where it stood less what was dropped before: a separator a field, and the rest
+    offsets = start - np.arange(len(start))
+    for dropped in gone:
+        many = np.bincount(np.searchsorted(start, dropped, "right") - 1, minlength=len(start))
+        offsets[1:] -= np.cumsum(many)[:-1]
+    offsets = np.append(offsets, len(values))
     records = np.append(0, np.flatnonzero(last) + 1)
     if not len(last) or not last[-1]:
         records = np.append(records, len(start))
@@ -127,5 +135,6 @@ def parse(data: np.ndarray, fmt: Format, options: ParseOptions, expected: int |
     null = None
     if fmt.nulls is Nulls.POSTGRES_CSV:
         null = start == end
-    lines = np.searchsorted(np.flatnonzero(data == 10), first)
-    return Block(data[keep], offsets, null, records, first, lines)
+    feeds = np.flatnonzero(data == 10) if lead != 10 or parity is not None else at[ends_record]
+    lines = np.arange(len(first)) if len(feeds) in (len(first), len(first) - 1) and lead == 10 and parity is None else np.searchsorted(feeds, first)
+    return Block(values, offsets, null, records, first, lines)

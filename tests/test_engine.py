@@ -128,6 +128,19 @@ def test_cut_anywhere(spark, tmp_path, chunk):
     assert got == [(s, f, li, i) for f, s, li, i in whole]
 
 
+@pytest.mark.parametrize("read,block", [(1, 1), (3, 2), (7, 5), (16, 4), (1000, 10)])
+def test_blocks_of_a_part_join_to_the_whole(tmp_path, read, block):
+    from quillrow.operators.scan import _blocks
+
+    path = tmp_path / "d.csv"
+    for body in (BODY, BODY[:-1], BODY + b'"' + b"\n" * 9 + b'"', b""):
+        path.write_bytes(body)
+        parts = list(_blocks(split.Part(str(path), 0, len(body), 0, 1, True), fm.CSV, read, block))
+        assert b"".join(parts) == body
+        rows = [r.fields for p in parts for r in Parser(p, fm.CSV, ParseOptions(headers=False), first=False)]
+        assert rows == [r.fields for r in Parser(body, fm.CSV, ParseOptions(headers=False), first=False)]
+
+
 @pytest.mark.parametrize("chunk", [3, 8, 64])
 def test_the_first_error_wherever_the_cuts_are(spark, tmp_path, chunk):
     body = BODY + b'6,g"h,i\n7,"x"y,z\n'
