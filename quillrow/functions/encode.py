@@ -171,6 +171,20 @@ def encoded(df: DataFrame, fmt: Format, columns: list[str] | None = None, *, nam
     return df.select(*[F.col(f"`{k}`") for k in keep], line.alias(name))
 
 
+def flattened(df: DataFrame) -> DataFrame:
+    """Nested structs as columns, depth first, for records without headers.  Maps and arrays, which
+    have no fixed width, are refused."""
+
+    def leaves(path: list[str], kind: T.DataType) -> list[Column]:
+        if isinstance(kind, T.StructType):
+            return [c for f in kind for c in leaves([*path, f.name], f.dataType)]
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            raise configuration(f"a record can't hold {kind.simpleString()}")
+        return [F.col(".".join(f"`{p}`" for p in path)).alias("_".join(path))]
+
+    return df.select(*[c for f in df.schema for c in leaves([f.name], f.dataType)])
+
+
 def header(names: list[str], fmt: Format) -> bytes:
     """The header record, by the rules for any record."""
     return _record_bytes([n.encode() for n in names], fmt)

@@ -61,3 +61,12 @@ def to_bytes(fields: Column) -> Column:
 def same(a: Column, b: Column) -> Column:
     """Equal values and equal NULLs."""
     return a.eqNullSafe(b)
+
+
+def as_map(fields: Column, names: list[str]) -> Column:
+    """Header to field; fields beyond the headers are left out, missing ones are NULL.  Needs headers."""
+    return F.map_from_arrays(F.array(*map(F.lit, names)), project(fields, list(range(len(names)))))
+
+
+def as_struct(fields: Column, names: list[str]) -> Column:
+    return F.struct(*[get(fields, i).alias(n) for i, n in enumerate(names)])

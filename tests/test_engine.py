@@ -364,3 +364,26 @@ def test_record_functions(spark):
     assert one(R.push_null(f)) == ["a", None, "c", None] and one(R.truncate(f, 1)) == ["a"]
     assert one(R.to_text(R.to_bytes(f))) == ["a", None, "c"]
     assert one(R.same(f, f))
+    assert one(R.as_map(f, ["x", "y", "z", "w"])) == {"x": "a", "y": None, "z": "c", "w": None}
+    assert one(R.as_struct(f, ["x", "y"])).asDict() == {"x": "a", "y": None}
+
+
+def test_nested_structs_are_flattened(spark):
+    df = spark.sql("SELECT 1 a, named_struct('b', 2, 'c', named_struct('d', 'x,y')) s")
+    assert bytes(E.encoded(E.flattened(df), fm.CSV).first().line) == b'1,2,"x,y"\n'
+    with pytest.raises(QuillError):
+        E.flattened(spark.sql("SELECT array(1) a"))
+    with pytest.raises(QuillError):
+        E.encoded(spark.sql("SELECT map('a', 1) m"), fm.CSV)
+
+
+@pytest.mark.parametrize("name", ["csv", "excel"])
+def test_an_index_generated_with_its_document(spark, tmp_path, name):
+    fmt = fm.PRESETS[name]
+    df = spark.range(60).select("id", F.when(F.col("id") % 3 == 0, F.lit("x\ny,z")).otherwise(F.lit("w")).alias("v")).repartition(4)
+    path = str(tmp_path / "d.csv")
+    made = RecordIndex.generate(df, "id", path, str(tmp_path / "one"), fmt)
+    scanned = RecordIndex.build(spark, path, str(tmp_path / "two"), fmt)
+    rows = lambda i: sorted(tuple(r) for r in i.table.select("record", "byte", "line").collect())
+    assert len(made) == 61 and rows(made) == rows(scanned)
+    assert sorted(int(r.id) for r in made.read(10, 13, fmt).collect()) == [9, 10, 11]
