@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import LOWER, Texts, span_hashes, words
-from .units import Unit, pack, unpack
+from .units import pack, together, unpack
 from .workspace import materialize
 
 #: The hash that stands for the end token: no word has it but by chance, like any other hash.
@@ -229,4 +229,4 @@ def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     model = Automaton.build(states, pairs.reshape(states.other + 2, -1), stats[0] or 0, *stats[1:])
     replies = answers.where("unit >= 0").select("unit", "word", "c")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return units.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(_scores(model), schema)
+    return together(units, replies).applyInArrow(_scores(model), schema)

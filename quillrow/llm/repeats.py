@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .suffix_array import common_prefixes, suffix_array
 from .textbatch import Texts, _power, mix, span_hashes
 from .textbatch import _MIX as MIX
-from .units import UNIT_BYTES, Unit, pack, unpack
+from .units import UNIT_BYTES, Unit, pack, together, unpack
 from .workspace import materialize, release
 
 LENGTH, GRAM = 100, 40
@@ -368,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     del anchors
     release(spark)
     asked = shared.select("unit", "anchor", "parts")
-    strips = units.groupBy("unit").cogroup(asked.groupBy("unit")).applyInArrow(_strip_rows(length, gram, shards), _STRIP)
+    strips = together(units, asked).applyInArrow(_strip_rows(length, gram, shards), _STRIP)
     verdicts = materialize(strips.groupBy("shard").applyInArrow(lambda table: settle(table, length), _VERDICT), "verdicts")
     del strips, asked
     release(spark)
@@ -377,4 +377,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     merged = verdicts.where("window IS NOT NULL").withColumn("to", spread).groupBy("to").applyInArrow(lambda table: merge(table.drop_columns(["to"])), "unit long, text int, start long, many int")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return units.groupBy("unit").cogroup(settled.union(merged).groupBy("unit")).applyInArrow(_cut(length, gram), schema)
+    return together(units, settled.union(merged)).applyInArrow(_cut(length, gram), schema)

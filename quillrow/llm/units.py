@@ -95,6 +95,16 @@ def pack(docs: DataFrame, label: str, limit: int = UNIT_BYTES) -> DataFrame:
     return spark.read.schema(units.schema).parquet(path)
 
 
+def together(units: DataFrame, answers: DataFrame):
+    """Units and answers grouped by unit, about two units a task however large the corpus is.
+
+    Without a number of its own the exchange would have the session's, and its tasks would grow
+    with the input.  Both sides are exchanged the same way, so the cogroup needs no other exchange.
+    """
+    tasks = max(1, -(-units.count() // 2))
+    return units.repartition(tasks, "unit").groupBy("unit").cogroup(answers.repartition(tasks, "unit").groupBy("unit"))
+
+
 def unpack(batch: pa.RecordBatch | pa.Table) -> Iterator[Unit]:
     import zstandard
 
