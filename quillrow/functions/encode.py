@@ -115,11 +115,28 @@ def field(value: Column, fmt: Format, first: bool = False, binary: bool = False)
     return F.when(value.isNull(), none).otherwise(out)
 
 
-def record(columns: list[Column], fmt: Format, ending: bool = True, binary: bool = False) -> Column:
-    """A record of text (or bytes as ISO-8859-1) columns; ``ending``: with its record ending."""
+#: What the text of numbers, booleans, dates and times is made of.
+_TYPED = set("0123456789+-.:eEINfinatyTZruls ")
+
+
+def bare(kind: T.DataType, fmt: Format) -> bool:
+    """Whether no value of a type can need quotes or escapes, so that none has to be looked at."""
+    typed = isinstance(kind, (T.IntegralType, T.DecimalType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    number = isinstance(kind, (T.IntegralType, T.DecimalType, T.FractionalType))
+    structural = _char(fmt.delimiter[:1] + fmt.quote + fmt.lead + fmt.escape.byte + fmt.comment)
+    policy = fmt.quoting in (Quoting.NECESSARY, Quoting.NEVER, Quoting.RAW) or (number and fmt.quoting is Quoting.NON_NUMERIC)
+    return typed and policy and not _TYPED & set(structural)
+
+
+def record(columns: list[Column], fmt: Format, ending: bool = True, binary: bool = False, plain: tuple[bool, ...] = ()) -> Column:
+    """A record of text (or bytes as ISO-8859-1) columns; ``ending``: with its record ending;
+    ``plain``: which columns can't need quotes."""
     if not columns:
         return F.lit(_char(fmt.ending) if ending else "")
-    parts = [field(c, fmt, first=i == 0, binary=binary) for i, c in enumerate(columns)]
+    own = plain or (False,) * len(columns)
+    null = F.lit("\\N" if fmt.nulls is Nulls.MYSQL else "")
+    blank = fmt.quoting is Quoting.NON_NUMERIC and fmt.nulls is Nulls.NONE
+    parts = [F.coalesce(c, null) if p and not blank else field(c, fmt, first=i == 0, binary=binary) for i, (c, p) in enumerate(zip(columns, own))]
     line = F.concat_ws(_char(fmt.delimiter), *parts) if len(parts) > 1 else parts[0]
     if len(parts) == 1 and fmt.quoting is Quoting.NECESSARY:
         # a lone empty field would be a blank line
@@ -167,7 +184,8 @@ def encoded(df: DataFrame, fmt: Format, columns: list[str] | None = None, *, nam
         if binary and not isinstance(kinds[c], T.BinaryType):
             v = F.decode(F.encode(v, "UTF-8"), "ISO-8859-1")
         values.append(v)
-    line = F.encode(record(values, fmt, ending, binary), "ISO-8859-1" if binary else "UTF-8")
+    plain = tuple(bare(kinds[c], fmt) for c in columns)
+    line = F.encode(record(values, fmt, ending, binary, plain), "ISO-8859-1" if binary else "UTF-8")
     return df.select(*[F.col(f"`{k}`") for k in keep], line.alias(name))
 
 

@@ -59,6 +59,18 @@ def test_quoting_policies(spark, quoting):
             E.encoded(spark.createDataFrame([("a,b",)], "v string"), fmt).collect()
 
 
+@pytest.mark.parametrize("name", list(fm.PRESETS))
+def test_typed_columns_are_written_as_their_text(spark, name):
+    fmt = fm.PRESETS[name]
+    df = spark.sql("SELECT 1 a, CAST(-2.50 AS DECIMAL(9,2)) b, true c, DATE'2020-01-02' d, TIMESTAMP_NTZ'2020-01-02 03:04:05' e, CAST(NULL AS INT) f, CAST(1e300 AS DOUBLE) g")
+    one = df.first()
+    values = [b"1", b"-2.50", b"true", b"2020-01-02", b"2020-01-02 03:04:05", None, ("1" + "0" * 300).encode()]
+    assert bytes(E.encoded(df, fmt).first().line) == E._record_bytes(values, fmt) and one.a == 1
+    for strange in (fmt.but(delimiter=b"-"), fmt.but(delimiter=b"5")):
+        got = list(Parser(bytes(E.encoded(df, strange).first().line), strange, ParseOptions(headers=False)))
+        assert [v or None for v in got[0].fields] == values
+
+
 def test_bytes_pass_unchanged(spark):
     body = bytes(range(256))
     df = spark.createDataFrame([(bytearray(body), "é")], "b binary, s string")
