@@ -1,8 +1,10 @@
 import numpy as np
+import pytest
 from conftest import ODD, SMALL
 
 import corpus_pipeline
 from quillrow.llm import near_copies
+from quillrow.llm.components import connect
 
 
 def test_near_copies_and_clean_documents(spark):
@@ -25,6 +27,41 @@ def test_near_copies_and_clean_documents(spark):
     assert kept == want
 
 
+@pytest.mark.parametrize("block", [2, 5, 256])
+def test_large_clusters_in_small_blocks(spark, block):
+    """Chains and stars of one cluster: components must be those of comparing all pairs."""
+    r = np.random.default_rng(block)
+    sets, root = {}, {}
+    for c in range(4):
+        base = r.integers(0, 1 << 40, 60)
+        own = [np.unique(base)]
+        for _ in range(40):
+            x = own[int(r.integers(len(own)))].copy()
+            x[r.choice(len(x), int(r.integers(1, 9)), replace=False)] = r.integers(0, 1 << 40, 1)
+            own.append(np.unique(x))
+        for x in own:
+            sets[len(sets)] = x
+            root[len(sets) - 1] = c
+    df = spark.createDataFrame([(root[i], i, x.tolist()) for i, x in sets.items()], "root bigint, node bigint, shingles array<bigint>")
+    links = near_copies._verified_links(df, 0.8, block)
+    got = {x.node: x.root for x in connect(links).collect()}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if root[i] == root[j] and near_copies.alike(sets[i], sets[j], 0.8):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {i: find(i) for i in sets}
+    assert {i: got.get(i, i) for i in sets} == want
+    assert 1 < len(set(want.values())) < len(sets)
+
+
 def test_near_copies_links_match_brute_force():
     from quillrow.llm.near_copies import alike
 
@@ -42,6 +79,8 @@ def test_near_copies_odd_rows(odd, none):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 4), (False, 5), (False, 6), (False, 7), (False, 9), (True, 0)]
     assert got[0].row == "x"
     assert near_copies.one_of_each(none).count() == 0
+    twice = odd.where("doc_id IS NOT NULL").union(odd.where("doc_id = 7").withColumn("text", odd["lang"]))  # one id, two texts
+    assert sorted(r.doc_id for r in near_copies.one_of_each(twice).collect()) == [1, 4, 5, 6, 7, 7, 9]
     distinct = odd.where("doc_id IS NOT NULL AND doc_id <> 5")
     assert sorted(r.doc_id for r in near_copies.one_of_each(distinct).collect()) == [1, 4, 6, 7, 9]
 
