@@ -5,8 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SMALL = "/root/testdata/sf0.001"
-
+from cases import ODD, SMALL  # noqa: E402
 
 @pytest.fixture(scope="session")
 def documents(spark):
@@ -18,22 +17,6 @@ def texts(documents):
     return [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
 
 
-LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(20_000))
-ODD = [
-    (1, None, "en", "a", 0),
-    (2, "", "en", "a", 0),
-    (3, " \t\n\x0b\x0c\r ", "en", None, 7),
-    (4, "é ü ñ ß\n" * 30, "fr", "a", 1),
-    (5, LONG, "en", "b", 2),
-    (5, LONG, "en", "b", 2),
-    (6, "mail me at joe@x.org or +1 (555) 010-2030, token = \"abcdef123456\"", "en", None, 3),
-    (7, "same words here " * 40, "en", "b", 4),
-    (8, "same words here " * 40, "en", "b", 4),
-    (None, "no id at all but some words to read", "en", "b", 5),
-    (9, "a" * 1000, None, "c", None),
-]
-
-
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and long texts, ties, repeated rows, and extra columns whose names clash with ours."""

@@ -1,6 +1,6 @@
 import duckdb
 import pytest
-from conftest import SMALL
+from cases import SMALL
 
 from quillrow.llm import oracles, queries
 

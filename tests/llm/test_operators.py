@@ -2,7 +2,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import LONG, ODD, SMALL
+from cases import LONG, ODD, SMALL
 
 from quillrow.llm import decontamination, lm, mixing, pii, quality, repeats, secrets, simhash, token_counts, toxicity
 from quillrow.llm.suffix_array import common_prefixes, suffix_array

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import ODD, SMALL
+from cases import ODD, SMALL
 
 import corpus_pipeline
 from quillrow.llm import near_copies
