@@ -99,3 +99,31 @@ def test_run(spark):
     ids = [r.doc_id for r in rows]
     assert len(ids) == len(set(ids)) and 0 < len(ids) < 200
     assert sum(r.taken for r in rows) > 0
+
+
+def test_near_copies_of_every_kind_meet(spark):
+    """Truncated, appended to, a block put in, words changed: all pairs at or above 0.8 must fall together."""
+    r = np.random.default_rng(12)
+    some = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    rows, pairs = [], 0
+    for g in range(400):
+        n = int(r.integers(60, 400))
+        base = some(n)
+        whole = n - 4  # shingles
+        extra = int(whole / 0.8 - whole)
+        at = int(r.integers(5, n - 5))
+        copy = [
+            lambda: base + some(extra),
+            lambda: some(extra) + base,
+            lambda: base[: n - int(whole * 0.2)],
+            lambda: base[:at] + some(int((whole - 4) / 0.8 - whole - 4)) + base[at:],
+            lambda: [w if i % 50 else some(1)[0] for i, w in enumerate(base)],
+        ][g % 5]()
+        a, b = (set(zip(*(x[i:] for i in range(5)))) for x in (base, copy))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.9, g
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        pairs += 1
+    rows.append((9999, "\n".join(["the same line again and again"] * 300 + [rows[0][1]])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {x.doc_id for x in near_copies.one_of_each(df).collect()}
+    assert kept == {2 * g for g in range(pairs)}
