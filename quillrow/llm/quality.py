@@ -2,8 +2,8 @@
 
 Lines are normalised (A-Z lower-cased, digits as 0, only letters, digits and bytes above 0x7F kept)
 and hashed.  A host is a document's source.  A line's frequency is the number of distinct documents
-of the host that hold it; documents count as one where their least other line hash is the same, so
-that copies and near copies of one document aren't taken for boilerplate.  Lines whose frequency
+of the host that hold it; documents count as one where the sets of their lines are the same, so that
+copies of one document aren't taken for boilerplate.  Lines whose frequency
 passes the limit (``min_documents``, or ``share`` of the host's distinct documents if that is more)
 are removed, and a document is depleted when less than ``min_left`` of its words are left.
 
@@ -39,7 +39,7 @@ _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " line array<long>, line_words array<int>, least long, second long"
+    " line array<long>, line_words array<int>, whole long"
 )
 
 
@@ -112,8 +112,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray | list]:
     d, h = d[at], h[at].view(np.int64)
     n = np.add.reduceat(n, at) if len(at) else n
     cuts = np.searchsorted(d, np.arange(texts.n + 1))
-    many = np.diff(cuts)
-    padded = np.append(h, [0, 0])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h.view(np.uint64) + _A), dtype=np.uint64)])
     return {
         "n_words": found,
         "word_chars": word_chars[w.cuts[1:]] - word_chars[w.cuts[:-1]],
@@ -122,8 +121,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray | list]:
         "n_repeat_words": repeat,
         "line": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h, pa.int64())),
         "line_words": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(n, pa.int32())),
-        "least": np.where(many > 0, padded[cuts[:-1]], 0),
-        "second": np.where(many > 1, padded[np.minimum(cuts[:-1] + 1, len(h))], 0),
+        "whole": (sums[cuts[1:]] - sums[cuts[:-1]]).view(np.int64),  # one for each set of lines
     }
 
 
@@ -146,13 +144,12 @@ def judge(docs: DataFrame, min_documents: int = 10, share: float = 0.01, min_lef
     lines = rows.select(
         *host,
         "row",
-        "least",
-        "second",
+        "whole",
         F.explode(F.arrays_zip("line", "line_words")).alias("l"),
-    ).select("host", "hostless", "row", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"), F.when(F.col("l.line") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("other"))
-    documents = rows.select(*host, "least", "second").distinct().groupBy("host", "hostless").agg(F.count("*").alias("documents"))
+    ).select("host", "hostless", "row", "whole", F.col("l.line").alias("line"), F.col("l.line_words").alias("words"))
+    documents = rows.select(*host, "whole").distinct().groupBy("host", "hostless").agg(F.count("*").alias("documents"))
     frequent = (
-        lines.select("host", "hostless", "line", "other")
+        lines.select("host", "hostless", "line", "whole")
         .distinct()
         .groupBy("host", "hostless", "line")
         .agg(F.count("*").alias("held_by"))
@@ -164,7 +161,7 @@ def judge(docs: DataFrame, min_documents: int = 10, share: float = 0.01, min_lef
     removed = lines.join(frequent, ["host", "hostless", "line"]).groupBy("row").agg(F.sum("words").alias("frequent_words"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
-        rows.drop("line", "line_words", "least", "second")
+        rows.drop("line", "line_words", "whole")
         .join(removed, "row", "left")
         .withColumn("frequent_words", F.coalesce("frequent_words", F.lit(0)))
         .withColumn("base_failed", failed)

@@ -44,6 +44,27 @@ def test_quality_rejects_what_boilerplate_depletes(spark):
     assert all(got[200 + i].kept and got[200 + i].frequent_words == 0 for i in range(30))
 
 
+def test_quality_counts_every_document_of_a_template(spark):
+    """Templates of several shared lines with one to three own lines, and copies of one document, in a large host."""
+    letters = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    line = lambda name, j: " ".join(f"{name}x{letters(j)}y{letters(k)}" for k in range(8))
+    own = lambda i, n: [line(f"w{letters(i)}", j) for j in range(n)]
+    rows, frequent = [], {}
+    for g, (shared, extra, held) in enumerate([(20, 1, 30), (8, 2, 16), (4, 1, 15), (10, 3, 25)]):
+        for _ in range(held):
+            i = len(rows)
+            rows.append((i, "\n".join([line(f"t{letters(g)}", j) for j in range(shared)] + own(i, extra)), "h"))
+            frequent[i] = 8 * shared
+    for copy in range(40):
+        rows.append((len(rows), "\n".join(own(9999, 6)), "h"))
+    while len(rows) < 700:
+        rows.append((len(rows), "\n".join(own(len(rows), 6)), "h"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in quality.judge(df, max_repeat_percent=1000, min_words=1).collect()}
+    assert {i: r.frequent_words for i, r in got.items()} == {i: frequent.get(i, 0) for i in got}
+    assert all(r.kept == (i not in frequent or frequent[i] <= 0.7 * r.n_words) for i, r in got.items())
+
+
 # -- 2: token counts ----------------------------------------------------------------------------------
 
 
