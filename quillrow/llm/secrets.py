@@ -5,7 +5,10 @@ merged where their continuations are statistically compatible (Hoeffding bound o
 transition frequencies, folded recursively), which leaves a probabilistic automaton.  Every
 candidate, a maximal run of at least 16 credential characters with a digit and two other kinds of
 character, is scored under every automaton against a bigram model of ordinary runs; one whose best
-log-likelihood ratio a character reaches the threshold is a secret of kind ``token``.
+log-likelihood ratio a character reaches the threshold is a secret of kind ``token``.  Of a run that
+doesn't, and of what fixed patterns leave of one, the parts between separators (/ = . - _ +) and all sequences
+of adjacent parts are candidates too; of those that overlap and pass, the one of the best ratio as a whole counts.
+All are weighed in passes which keep for each automaton and state the best start that leads there.
 
 Defined results: null or empty text has no spans; fixed-pattern spans stay and learnt spans that
 overlap one are left out; repeated rows each give a row; an empty table gives an empty result; extra
@@ -17,6 +20,7 @@ Scale: a map without a shuffle; the automata are learnt on the driver from the b
 from __future__ import annotations
 
 import base64
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -77,6 +81,10 @@ for _i, _chars in enumerate((_DIGITS, "abcdef", _LOWER[6:], "ABCDEF", _UPPER[6:]
     _CLASS[list(_chars.encode())] = _i
 
 
+_PADDING = 9
+_SEPARATORS = {5, 6, 7, 8, 9, 10}
+
+
 def symbols(text: bytes) -> list[int]:
     return _CLASS[np.frombuffer(text, np.uint8)].tolist()
 
@@ -192,6 +200,57 @@ class Grammar:
         return max(((a.score(s) - plain) / (len(s) + 1), name) for name, a in self.formats.items())
 
 
+    def segments(self, text: bytes, threshold: float) -> list[tuple[int, int]]:
+        """Disjoint parts (start, end) of a run, cut at separators, whose ratio reaches the threshold."""
+        s = symbols(text)
+        n = len(s)
+        plain = self.plain.tolist()
+        cut = [c in _SEPARATORS for c in s]
+        starts = [i for i in range(n - LEAST_LENGTH + 1) if not cut[i] and (not i or cut[i - 1])]
+        ends = {i for i in range(1, n + 1) if not cut[i - 1] and (i == n or cut[i])}
+        last = n
+        while last and cut[last - 1]:
+            last -= 1
+        ends |= {i for i in range(last + 1, n + 1) if all(c == _PADDING for c in s[last:i])}
+        found = []
+        # the best starts by what is above the threshold, and by the whole ratio
+        for a, least in itertools.product(self.formats.values(), (threshold, 0.0)):
+            entering: dict[int, list] = {}
+            for b in starts:
+                at, total, digit = 0, 0.0, False
+                for i in range(b, b + LEAST_LENGTH):
+                    c = s[i]
+                    total += a.log[at][c] - plain[s[i - 1] if i > b else CLASSES][c] - least
+                    digit |= not c
+                    at = a.to[at][c] if a.to[at][c] >= 0 else at
+                entering.setdefault(b + LEAST_LENGTH, []).append((at, digit, total, b))
+            live: dict[tuple[int, bool], tuple[float, int]] = {}
+            for i in range(LEAST_LENGTH, n + 1):
+                if live:
+                    c = s[i - 1]
+                    moved: dict[tuple[int, bool], tuple[float, int]] = {}
+                    step = -plain[s[i - 2]][c] - least
+                    for (at, digit), (total, b) in live.items():
+                        key = (a.to[at][c] if a.to[at][c] >= 0 else at, digit or not c)
+                        value = (total + a.log[at][c] + step, b)
+                        if key not in moved or value > moved[key]:
+                            moved[key] = value
+                    live = moved
+                for at, digit, total, b in entering.get(i, ()):
+                    if (at, digit) not in live or (total, b) > live[at, digit]:
+                        live[at, digit] = (total, b)
+                if i in ends:
+                    for (at, digit), (total, b) in live.items():
+                        value = total + a.end[at] - plain[s[i - 1]][CLASSES] + least * (i - b)
+                        if digit and value >= threshold * (i - b + 1) and len(set(s[b:i])) > 1:
+                            found.append((value, b, i))
+        taken: list[tuple[int, int]] = []
+        for _, b, e in sorted(found, key=lambda x: (-x[0], x[1:])):
+            if not any(p < e and b < q for p, q in taken):
+                taken.append((b, e))
+        return sorted(taken)
+
+
 def find(texts: Texts, grammar: Grammar, threshold: float) -> tuple[list[list], list[list]]:
     """For each text: its fixed-pattern spans and its learnt spans, as (start, kind, end) code points."""
     scan = Scan(texts)
@@ -212,10 +271,17 @@ def find(texts: Texts, grammar: Grammar, threshold: float) -> tuple[list[list],
         body = scan.body[r.start[i] : r.end[i]]
         s = int(r.start[i]) + len(body) - len(body.lstrip(b".=-/+_"))
         e = int(r.end[i]) - (len(body) - len(body.rstrip(b".-/+_")))
-        if e - s < LEAST_LENGTH or any(a < e and s < b for a, b in taken[t]):
+        if e - s < LEAST_LENGTH:
             continue
-        if len(set(symbols(scan.body[s:e]))) > 1 and grammar.ratio(scan.body[s:e])[0] >= threshold:
+        inner = sorted((max(a, s), min(b, e)) for a, b in taken[t] if a < e and s < b)
+        if not inner and len(set(symbols(scan.body[s:e]))) > 1 and grammar.ratio(scan.body[s:e])[0] >= threshold:
             added[t].append((points(t, s), 3, points(t, e)))
+            continue
+        at = s
+        for a, b in [*inner, (e, e)]:  # what fixed patterns leave of the run
+            for p, q in grammar.segments(scan.body[at:a], threshold) if a - at >= LEAST_LENGTH else ():
+                added[t].append((points(t, at + p), 3, points(t, at + q)))
+            at = max(at, b)
     return base, added
 
 

@@ -319,6 +319,21 @@ def test_secret_grammars_hold_out():
         assert hits < 0.02 if name == "plain" else hits > 0.85, (name, hits)
 
 
+def test_secrets_inside_longer_runs():
+    import random
+
+    grammar, r = secrets.learnt(), random.Random(5)
+    before = ["hooks.example.com/services/", "https://registry.example.org/v2/team/images/", "config.service.internal.", "user=alice/key=", "services/T00/B00/"]
+    for name, examples in secrets.labelled(seed=77).items():
+        for after in ("", "/index.html"):
+            heads = [r.choice(before) for _ in examples]
+            hits = 0
+            for part in slices(pa.array([f"see {h}{x}{after} now" for h, x in zip(heads, examples)])):
+                for h, x, b, a in zip(heads, examples, *secrets.find(part, grammar, secrets.THRESHOLD)):
+                    hits += any(s <= 4 + len(h) and 4 + len(h) + len(x) <= e for s, _, e in b + a)
+            assert hits / len(examples) < 0.02 if name == "plain" else hits / len(examples) > 0.8, (name, after, hits)
+
+
 def test_redact(odd, none):
     rows = {(r.doc_id, r.text): r for r in secrets.redact(odd).collect()}
     own = next(r for (i, _), r in rows.items() if i == 6)
