@@ -3,8 +3,8 @@
 Tokens are the lower-cased words of a text, then one end.  Smoothed n-grams are states joined by
 failure arcs:
 
-* a state for each of the ``contexts`` commonest tokens (and one for the text's start, one for all
-  other tokens) with arcs for the common tokens seen after it;
+* a state for each token that training texts continue (and one for the text's start) with an arc for
+  every token seen after it;
 * the unigram state, with an arc for every token of the training texts;
 * the last state, whose one arc takes any token that training has not met (words outside the
   vocabulary are one event, as in the base score).
@@ -16,8 +16,10 @@ off the seen is the failure arc's weight, so each level is a proper distribution
 
 Counts are of all training texts.  Every unit of texts sends each of its distinct words once, with
 its count; a sorted pass adds them up and answers each unit, so the words' counts never meet in one
-place and the model grows with the corpus.  Only the context table is broadcast: at most
-(contexts + 2) squared counts, a bound fixed by that parameter and not by the data.
+place and the model grows with the corpus.  Pairs of adjacent tokens go the same way: each distinct
+pair of a unit is sent once, and a unit is answered where others hold the pair too; the number of a
+token's distinct successors, which gives its failure arc's weight, travels with the words' counts.
+Only totals reach the driver.
 
 Defined results: null or empty text is the end token alone; a null doc_id counts as the text "" for
 the held-out test; repeated rows each train and each give a row; an empty table gives an empty
@@ -36,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import LOWER, Texts, span_hashes, words
-from .units import pack, together, unpack
-from .workspace import materialize
+from .textbatch import LOWER, Texts, mix, span_hashes, words
+from .units import Unit, pack, together, unpack
+from .workspace import materialize, release
 
 #: The hash that stands for the end token: no word has it but by chance, like any other hash.
-END = np.uint64(0x5EED0E4D00000001)
-CONTEXTS = 510
+END, START = np.uint64(0x5EED0E4D00000001), np.uint64(0x5EED0E4D00000002)
+#: A task sends what it knows of successors after so many distinct pairs.
+_HELD = 1 << 20
 FOLDS = 10
 
 
@@ -77,37 +80,129 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, n = np.unique(np.concatenate(train), return_counts=True)
             rest = np.setdiff1d(np.concatenate(other), word)
             word, n = np.concatenate([word, rest]), np.concatenate([n, np.zeros(len(rest), n.dtype)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), unit.unit)), pa.array(word.view(np.int64)), pa.array(n, pa.int64())], ["unit", "word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), unit.unit)), pa.array(word.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(word), np.int64))], ["unit", "word", "n", "t"])
+
+
+def pair_keys(t: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each token (START at a text's start), and a hash of both."""
+    before = np.empty_like(t)
+    before[1:] = t[:-1]
+    before[cuts[:-1]] = START
+    return before, mix(before ^ mix(t + START))
+
+
+def unit_pairs(unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first token and training count of each distinct pair of a unit, sorted by hash."""
+    test = held_out(unit.ids)
+    keys, first, live = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for texts in unit.slices():
+        t, cuts = tokens(texts)
+        before, key = pair_keys(t, cuts)
+        keys.append(key)
+        first.append(before)
+        live.append(np.repeat(~test[texts.first : texts.first + texts.n], np.diff(cuts)))
+    key = np.concatenate(keys)
+    order = np.argsort(key)
+    key = key[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    n = np.add.reduceat(np.concatenate(live)[order].astype(np.int64), cut) if len(cut) else cut
+    return key[cut], np.concatenate(first)[order[cut]], n
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(unit, pair, word, n): each distinct pair of a unit, its first token, its count in training texts."""
+    for batch in batches:
+        for unit in unpack(batch):
+            key, first, n = unit_pairs(unit)
+            order = np.argsort(first)  # equal neighbours compress
+            columns = [np.full(len(key), unit.unit), key[order].view(np.int64), first[order].view(np.int64), n[order]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["unit", "pair", "word", "n"])
+
+
+def _pair_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair: (unit, word, c, t).
+
+    t = -1: word is the pair, c its count in all units, for a unit whose own count is less.  Unit -1:
+    t more distinct successors of the word.  Unit -2: c and t more pairs that are counted once and twice.
+    """
+    names = ("pair", "unit", "word", "n")
+    held = [np.zeros(0, np.int64)] * 4
+    firsts: list[np.ndarray] = []
+    kept = ones = twos = 0
+
+    def rows(unit, word, c, t) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (unit, word, c, t)], ["unit", "word", "c", "t"])
+
+    def total(pair: np.ndarray, unit: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        nonlocal kept, ones, twos
+        cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        sums = np.add.reduceat(n, cut)
+        c = np.repeat(sums, np.diff(np.append(cut, len(pair))))
+        ones += int((sums == 1).sum())
+        twos += int((sums == 2).sum())
+        firsts.append(word[cut][sums > 0])
+        kept += len(firsts[-1])
+        more = c != n
+        return rows(unit[more], pair[more], c[more], np.full(more.sum(), -1))
+
+    def successors() -> pa.RecordBatch:
+        nonlocal kept
+        word, n = np.unique(np.concatenate(firsts), return_counts=True)
+        firsts.clear()
+        kept = 0
+        return rows(np.full(len(word), -1), word, np.zeros(len(word), np.int64), n)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = [np.concatenate([h, batch.column(k).to_numpy()]) for h, k in zip(held, names)]
+        last = int(np.searchsorted(new[0], new[0][-1]))
+        held = [x[last:] for x in new]
+        if last:
+            yield total(*(x[:last] for x in new))
+        if kept >= _HELD:
+            yield successors()
+    if len(held[0]):
+        yield total(*held)
+        yield successors()
+        yield rows([-2], [0], [ones], [twos])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word: (unit, word, c) with the word's count in all units; a row of unit -1 once a word."""
-    held = [np.zeros(0, np.int64)] * 3
+    """Rows sorted by word: (unit, word, c, t) with the word's count and its successors in all units.
 
-    def total(word: np.ndarray, unit: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    Rows of unit -1 bring successors; a row of unit -1 is returned once a word.
+    """
+    held = [np.zeros(0, np.int64)] * 4
+
+    def total(word: np.ndarray, unit: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        sums = np.add.reduceat(n, cut)
-        c = np.repeat(sums, np.diff(np.append(cut, len(word))))
-        seen = sums > 0
-        unit = np.concatenate([unit, np.full(seen.sum(), -1)])
-        word = np.concatenate([word, word[cut][seen]])
-        return pa.RecordBatch.from_arrays([pa.array(unit), pa.array(word), pa.array(np.concatenate([c, sums[seen]]))], ["unit", "word", "c"])
+        sums, after = np.add.reduceat(n, cut), np.add.reduceat(t, cut)
+        many = np.diff(np.append(cut, len(word)))
+        own, seen = unit >= 0, sums > 0
+        columns = [
+            np.concatenate([unit[own], np.full(seen.sum(), -1)]),
+            np.concatenate([word[own], word[cut][seen]]),
+            np.concatenate([np.repeat(sums, many)[own], sums[seen]]),
+            np.concatenate([np.repeat(after, many)[own], after[seen]]),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["unit", "word", "c", "t"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        word, unit, n = (np.concatenate([h, batch.column(k).to_numpy()]) for h, k in zip(held, ("word", "unit", "n")))
-        last = int(np.searchsorted(word, word[-1]))
-        held = [word[last:], unit[last:], n[last:]]
+        new = [np.concatenate([h, batch.column(k).to_numpy()]) for h, k in zip(held, ("word", "unit", "n", "t"))]
+        last = int(np.searchsorted(new[0], new[0][-1]))
+        held = [x[last:] for x in new]
         if last:
-            yield total(word[:last], unit[:last], n[:last])
+            yield total(*(x[:last] for x in new))
     if len(held[0]):
         yield total(*held)
 
 
 @dataclass
 class Contexts:
-    """The commonest tokens, sorted by hash; class 0 .. k-1, k: any other token, k + 1: the start."""
+    """The tokens of a dense automaton, sorted by hash; class 0 .. k-1, k: any other token, k + 1: the start."""
 
     words: np.ndarray
 
@@ -130,28 +225,10 @@ class Contexts:
         return before, c
 
 
-def _pair_rows(contexts: Contexts):
-    """(code, n): counts of (state, next token's class) in training texts, summed over a task."""
-    width = contexts.other + 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(width * width, np.int64)
-        for batch in batches:
-            for unit in unpack(batch):
-                test = held_out(unit.ids)
-                for texts in unit.slices():
-                    t, cuts = tokens(texts)
-                    before, after = contexts.states(t, cuts)
-                    live = np.repeat(~test[texts.first : texts.first + texts.n], np.diff(cuts))
-                    pairs += np.bincount(before[live] * width + after[live], minlength=len(pairs))
-        at = np.flatnonzero(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(pairs[at])], ["code", "n"])
-
-    return run
-
-
 @dataclass
 class Automaton:
+    """The whole model as one table, for a few tokens: what ``Backoff`` is held against."""
+
     contexts: Contexts
     arcs: np.ndarray  # discounted probability of each arc between context states, 0 without one
     fail: np.ndarray  # weight of each context state's failure arc
@@ -188,18 +265,55 @@ def _discount(ones: int, twos: int) -> float:
     return min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _scores(model: Automaton):
+@dataclass
+class Backoff:
+    total: int  # N
+    distinct: int  # V
+    discount: float  # of words
+    pair_discount: float
+    begins: int  # distinct tokens that training texts begin with
+
+    def run(self, texts: Texts, words_: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...], smooth: float = 0.1) -> dict[str, np.ndarray]:
+        """Read all texts from left to right; words_: sorted hashes, counts, successors; pairs: sorted hashes, counts."""
+        vocabulary, counts, successors = words_
+        t, cuts = tokens(texts)
+        at = np.searchsorted(vocabulary, t)
+        c = counts[at].astype(np.float64)
+        base = np.log10((c + smooth) / (self.total + smooth * (self.distinct + 1)))
+        unmet = self.discount * self.distinct / self.total if self.total else 1.0
+        unigram = np.where(c > 0, (c - self.discount) / max(self.total, 1), unmet)
+        _, key = pair_keys(t, cuts)
+        both = pairs[1][np.searchsorted(pairs[0], key)]
+        history, after = np.empty_like(c), np.empty_like(c)
+        history[1:], after[1:] = c[:-1], successors[at][:-1]
+        history[cuts[:-1]] = counts[np.searchsorted(vocabulary, END)]  # texts begin as often as they end
+        after[cuts[:-1]] = self.begins
+        arc = np.where(both > 0, both - self.pair_discount, 0) / np.maximum(history, 1)
+        fail = np.where(history > 0, self.pair_discount * after / np.maximum(history, 1), 1)
+        return {
+            "n_tokens": np.diff(cuts),
+            "n_known": np.add.reduceat((c > 0).astype(np.int64), cuts[:-1]),
+            "base_score": np.add.reduceat(base, cuts[:-1]),
+            "score": np.add.reduceat(np.log10(arc + fail * unigram), cuts[:-1]),
+        }
+
+
+def _scores(model: Backoff):
     schema_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
-        word = answers.column("word").to_numpy().view(np.uint64)
-        order = np.argsort(word)
-        vocabulary, counts = word[order], answers.column("c").to_numpy()[order]
+        word, c, t = (answers.column(k).to_numpy() for k in ("word", "c", "t"))
+        own = t >= 0
+        order = np.argsort(word[own].view(np.uint64))
+        vocabulary = [x[own][order] for x in (word, c, t)]
+        vocabulary[0] = vocabulary[0].view(np.uint64)
         out = []
         for unit in unpack(units.combine_chunks()):
+            key, _, n = unit_pairs(unit)
+            n[np.searchsorted(key, word[~own].view(np.uint64))] = c[~own]
             test = held_out(unit.ids)
             for texts in unit.slices():
-                r = model.run(texts, vocabulary, counts)
+                r = model.run(texts, tuple(vocabulary), (key, n))
                 rows = slice(texts.first, texts.first + texts.n)
                 out.append(
                     pa.Table.from_arrays(
@@ -212,21 +326,25 @@ def _scores(model: Automaton):
     return run
 
 
-def score(docs: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     units = pack(docs, "lm-units")
-    rows = units.mapInArrow(_token_rows, "unit long, word long, n long")
-    answers = materialize(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_answers, "unit long, word long, c long"), "lm-counts")
-    totals = answers.where("unit = -1")
-    stats = totals.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    # a report of the commonest tokens: its length is the model's parameter
-    common = [r.word for r in totals.orderBy(F.desc("c"), "word").limit(contexts).select("word").collect()]
-    states = Contexts(np.sort(np.array(common, dtype=np.int64).view(np.uint64)))
-    counted = units.mapInArrow(_pair_rows(states), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros((states.other + 2) ** 2)
-    pairs[counted.column("code").to_numpy()] = counted.column("n").to_numpy()
-    model = Automaton.build(states, pairs.reshape(states.other + 2, -1), stats[0] or 0, *stats[1:])
-    replies = answers.where("unit >= 0").select("unit", "word", "c")
+    tasks = max(1, units.count())
+    fields = "unit long, word long, c long, t long"
+    sent = units.mapInArrow(_pair_rows, "unit long, pair long, word long, n long")
+    pairs = materialize(sent.repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(_pair_answers, fields), "lm-pairs")
+    release(docs.sparkSession)
+    successors = pairs.where("unit = -1").groupBy("word").agg(F.sum("t").alias("t"))
+    rows = units.mapInArrow(_token_rows, "unit long, word long, n long, t long")
+    rows = rows.union(successors.select(F.lit(-1).cast("long").alias("unit"), "word", F.lit(0).cast("long").alias("n"), "t"))
+    answers = materialize(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_answers, fields), "lm-counts")
+    release(docs.sparkSession)
+    stats = answers.where("unit = -1").agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    start = int(START.view(np.int64))
+    twice = pairs.where("unit = -2").agg(F.sum("c"), F.sum("t")).first()
+    begins = pairs.where(f"unit = -1 AND word = {start}").agg(F.sum("t")).first()[0]
+    model = Backoff(stats[0] or 0, stats[1], _discount(*stats[2:]), _discount(*(x or 0 for x in twice)), begins or 0)
+    replies = answers.where("unit >= 0").union(pairs.where("unit >= 0"))
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return together(units, replies).applyInArrow(_scores(model), schema)

@@ -262,6 +262,31 @@ def test_language_model_is_a_distribution():
         assert abs(sum(model.arcs[state, c] + model.fail[state] * u for c, u in zip(after, unigram)) - 1) < 1e-12
 
 
+@pytest.mark.parametrize("unit_bytes", [1 << 24, 1 << 13])
+def test_language_model_has_every_pair(documents, texts, monkeypatch, unit_bytes):
+    """Scores of documents in one and in many units are those of all pairs counted in one place."""
+    from collections import Counter
+
+    pack = lm.pack
+    monkeypatch.setattr(lm, "pack", lambda docs, label: pack(docs, label, unit_bytes))
+    out = lm.held_out(pa.array([i for i, _ in texts]))
+    seqs = [[*brute.WORD.findall(brute.lower(t)), 0] for _, t in texts]
+    train = [s for s, o in zip(seqs, out) if not o]
+    word, pair = Counter(w for s in train for w in s), Counter(p for s in train for p in zip([1, *s], s))
+    history, after = Counter(), Counter()
+    for (h, _), n in pair.items():
+        history[h] += n
+        after[h] += 1
+    cut = lambda c: lm._discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    d, e, total = cut(word), cut(pair), sum(word.values())
+    unigram = lambda w: (word[w] - d if w in word else d * len(word)) / total
+    chance = lambda h, w: (max(pair[h, w] - e, 0) + e * after[h] * unigram(w)) / history[h] if h in history else unigram(w)
+    got = {r.doc_id: r.score for r in lm.score(documents).collect()}
+    for (i, _), s in zip(texts, seqs):
+        want = sum(np.log10(chance(h, w)) for h, w in zip([1, *s], s))
+        assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
 # -- 7 and 10: spans ----------------------------------------------------------------------------------
 
 
