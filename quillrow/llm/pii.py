@@ -4,7 +4,7 @@ The field labels words as outside, or as first or inner word of an email address
 card or account number, or a phone number.  It is trained on the small labelled table below by
 gradient ascent on the regularised log-likelihood (forward-backward in numpy) and decoded by Viterbi
 in batches of equally padded sequences.  A sequence is a run of words within ``REACH`` of a word
-that holds a digit or an at sign, cut at ``LONGEST`` words; words outside all sequences are outside
+that holds a digit or an at sign; words outside all sequences are outside
 by definition, so every text is covered whole.
 
 Defined results: null or empty text has no spans; fixed-pattern spans stay, and a labelled span is
@@ -29,7 +29,9 @@ from .textbatch import Texts, slices, words
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-REACH, LONGEST = 2, 256
+REACH = 2
+#: Words, padding included, that are labelled at once; a longer sequence is labelled by itself.
+BATCH_WORDS = 1 << 19
 SENTENCES = 800  # rows of the labelled table
 _EDGE = ALNUM | byte_class(b"+()@") | byte_class(bytes(range(128, 256)))
 _SPECIAL = (DIGIT | byte_class(b"@")).copy()
@@ -278,7 +280,7 @@ def _plausible(kind: int, text: bytes) -> bool:
     return (b"@" in text, n >= 4 and text.count(b".") == 3, 12 <= n <= 19, 9 <= n <= 15)[kind]
 
 
-def tagged(texts: Texts, body: bytes, field: Field, batch: int = 2048) -> list[tuple[int, int, int, int]]:
+def tagged(texts: Texts, body: bytes, field: Field, batch: int = BATCH_WORDS) -> list[tuple[int, int, int, int]]:
     """Labelled spans (text, start byte, kind, end byte)."""
     w = words(texts)
     special = np.concatenate([[0], np.cumsum(_SPECIAL[texts.data])])
@@ -295,11 +297,13 @@ def tagged(texts: Texts, body: bytes, field: Field, batch: int = 2048) -> list[t
         chosen[at[ok]] = True
     index = np.flatnonzero(chosen)
     cut = np.flatnonzero(np.append(True, (np.diff(index) != 1) | (np.diff(doc[index]) != 0)))
-    pieces = [p[i : i + LONGEST] for p in np.split(index, cut[1:]) for i in range(0, len(p), LONGEST)]
-    pieces.sort(key=len)
-    found = []
-    for at in range(0, len(pieces), batch):
-        part = pieces[at : at + batch]
+    pieces = sorted(np.split(index, cut[1:]), key=len)
+    found, at = [], 0
+    while at < len(pieces):
+        end = at + 1
+        while end < len(pieces) and len(pieces[end]) * (end + 1 - at) <= batch:
+            end += 1
+        part, at = pieces[at:end], end
         scores, length, _ = field.scores([[body[w.start[i] : w.end[i]] for i in p.tolist()] for p in part])
         for p, path in zip(part, field.viterbi(scores, length)):
             i = 0

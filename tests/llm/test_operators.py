@@ -336,6 +336,17 @@ def test_personal_data_field_holds_out():
     assert sum(a == b for a, b in pairs) / len(pairs) > 0.97
 
 
+def test_personal_data_in_long_sequences():
+    """A directory's phones are found wherever they stand in a sequence of thousands of words."""
+    field = pii.trained()
+    for lead in range(4):
+        text = "no 1 " * lead + " ".join(f"call (555) {i // 10000 + 201}-{i % 10000:04} then" for i in range(0, 40000, 57))
+        part = next(slices(pa.array([text])))
+        got = {text[s:e] for s, k, e in pii.find(part, field)[1][0]}
+        want = {f"(555) {i // 10000 + 201}-{i % 10000:04}" for i in range(0, 40000, 57)}
+        assert want <= got, sorted(want - got)[:3]
+
+
 def test_secret_grammars_hold_out():
     grammar = secrets.learnt()
     fresh = secrets.labelled(seed=77)
