@@ -1,37 +1,46 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Tokens are the lower-cased words of a text, then one end.  Smoothed n-grams are states joined by
-failure arcs:
+Tokens are the lower-cased words of a text, then one end.  The n-grams of up to ``order`` tokens that
+training texts hold become an automaton:
 
-* a state for each token that training texts continue (and one for the text's start) with an arc for
-  every token seen after it;
-* the unigram state, with an arc for every token of the training texts;
-* the last state, whose one arc takes any token that training has not met (words outside the
+* a state for each history (an n-gram of less than ``order`` tokens, or a text's start) that training
+  texts continue, with an arc for every token seen after it;
+* a failure arc from each state to that of the history without its first token, and at last to the root;
+* the root has an arc for every token of the training texts, and one for any other (words outside the
   vocabulary are one event, as in the base score).
 
-A text is read once from left to right; the state is the last token, and a token without an arc
-follows failure arcs, whose weights multiply, until one has it.  Both levels are smoothed by
-absolute discounting, with the discount that leave-one-out gives (n1 / (n1 + 2 n2)); what is taken
-off the seen is the failure arc's weight, so each level is a proper distribution.
+Every level is smoothed by absolute discounting, with the discount that leave-one-out gives for the
+level (n1 / (n1 + 2 n2)), and interpolated with the level below: an arc's weight is the smoothed
+probability of its n-gram, a failure arc's what the discounts of its state leave over.  Each state's
+arcs, with what is reached by failure, thus make a proper distribution.  A text is read once from left
+to right: the state is the longest suffix of what has been read that is a state; a token without an
+arc follows failure arcs, whose logarithms add up, until a state has one.  Since a state depends on
+the last ``order`` - 1 tokens alone, the states at all places of a unit are found at once.
 
-Counts are of all training texts.  Every unit of texts sends each of its distinct words once, with
-its count; a sorted pass adds them up and answers each unit, so the words' counts never meet in one
-place and the model grows with the corpus.  Pairs of adjacent tokens go the same way: each distinct
-pair of a unit is sent once, and a unit is answered where others hold the pair too; the number of a
-token's distinct successors, which gives its failure arc's weight, travels with the words' counts.
-Only totals reach the driver.
+Counts are of all training texts and nothing is cut: a unit of texts holds its own part of the
+automaton, every state and arc that its texts can reach, with weights of the whole corpus.
+
+For that, level by level from the longest n-grams down, each unit sends its distinct n-grams (as
+sorted 64-bit hashes with counts, cut in ranges, differences packed by bytes).  A range's task adds
+up what all units sent and answers each unit in the same order, with the totals and with a mark at
+one of the units that hold the n-gram.  A unit counts its marked n-grams by history; sent with the
+level below, that gives the number of distinct successors of every history.  Only totals (a row a
+range) reach the driver.
 
 Defined results: null or empty text is the end token alone; a null doc_id counts as the text "" for
 the held-out test; repeated rows each train and each give a row; an empty table gives an empty
 result, and without training texts every token is unknown; extra columns are ignored.  Whole texts
 are read; memory follows the longest text.
+
+Scale: there are as many ranges as units, so a task's memory stays that of a unit.  An n-gram is sent
+once by each unit that holds it, however often it stands there; a frequent one is one number a unit.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +53,8 @@ from .workspace import materialize, release
 
 #: The hash that stands for the end token: no word has it but by chance, like any other hash.
 END, START = np.uint64(0x5EED0E4D00000001), np.uint64(0x5EED0E4D00000002)
-#: A task sends what it knows of successors after so many distinct pairs.
-_HELD = 1 << 20
-FOLDS = 10
+FOLDS, ORDER, SMOOTH = 10, 3, 0.1
+_NONE = np.zeros(0, np.int64)
 
 
 def held_out(ids: pa.Array, folds: int = FOLDS) -> np.ndarray:
@@ -64,287 +72,306 @@ def tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return out, np.concatenate([[0], np.cumsum(n + 1)])
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, word, n): each distinct token of a unit with its count in training texts."""
-    for batch in batches:
-        for unit in unpack(batch):
-            test = held_out(unit.ids)
-            train, other = [], []
-            for texts in unit.slices():
-                t, cuts = tokens(texts)
-                out = np.repeat(test[texts.first : texts.first + texts.n], np.diff(cuts))
-                train.append(t[~out])
-                other.append(np.unique(t[out]))
-            if not train:
-                continue
-            word, n = np.unique(np.concatenate(train), return_counts=True)
-            rest = np.setdiff1d(np.concatenate(other), word)
-            word, n = np.concatenate([word, rest]), np.concatenate([n, np.zeros(len(rest), n.dtype)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), unit.unit)), pa.array(word.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(word), np.int64))], ["unit", "word", "n", "t"])
-
-
-def pair_keys(t: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each token (START at a text's start), and a hash of both."""
-    before = np.empty_like(t)
-    before[1:] = t[:-1]
-    before[cuts[:-1]] = START
-    return before, mix(before ^ mix(t + START))
-
-
-def unit_pairs(unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first token and training count of each distinct pair of a unit, sorted by hash."""
-    test = held_out(unit.ids)
-    keys, first, live = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    for texts in unit.slices():
-        t, cuts = tokens(texts)
-        before, key = pair_keys(t, cuts)
-        keys.append(key)
-        first.append(before)
-        live.append(np.repeat(~test[texts.first : texts.first + texts.n], np.diff(cuts)))
-    key = np.concatenate(keys)
-    order = np.argsort(key)
-    key = key[order]
-    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    n = np.add.reduceat(np.concatenate(live)[order].astype(np.int64), cut) if len(cut) else cut
-    return key[cut], np.concatenate(first)[order[cut]], n
+# Packed numbers
 
 
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, pair, word, n): each distinct pair of a unit, its first token, its count in training texts."""
-    for batch in batches:
-        for unit in unpack(batch):
-            key, first, n = unit_pairs(unit)
-            order = np.argsort(first)  # equal neighbours compress
-            columns = [np.full(len(key), unit.unit), key[order].view(np.int64), first[order].view(np.int64), n[order]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["unit", "pair", "word", "n"])
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte of all of them: five or six bytes each."""
+    return pack_numbers(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _pair_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pair: (unit, word, c, t).
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack_numbers(blob).view(np.uint64), dtype=np.uint64)
 
-    t = -1: word is the pair, c its count in all units, for a unit whose own count is less.  Unit -1:
-    t more distinct successors of the word.  Unit -2: c and t more pairs that are counted once and twice.
-    """
-    names = ("pair", "unit", "word", "n")
-    held = [np.zeros(0, np.int64)] * 4
-    firsts: list[np.ndarray] = []
-    kept = ones = twos = 0
-
-    def rows(unit, word, c, t) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (unit, word, c, t)], ["unit", "word", "c", "t"])
-
-    def total(pair: np.ndarray, unit: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        nonlocal kept, ones, twos
-        cut = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        sums = np.add.reduceat(n, cut)
-        c = np.repeat(sums, np.diff(np.append(cut, len(pair))))
-        ones += int((sums == 1).sum())
-        twos += int((sums == 2).sum())
-        firsts.append(word[cut][sums > 0])
-        kept += len(firsts[-1])
-        more = c != n
-        return rows(unit[more], pair[more], c[more], np.full(more.sum(), -1))
-
-    def successors() -> pa.RecordBatch:
-        nonlocal kept
-        word, n = np.unique(np.concatenate(firsts), return_counts=True)
-        firsts.clear()
-        kept = 0
-        return rows(np.full(len(word), -1), word, np.zeros(len(word), np.int64), n)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [np.concatenate([h, batch.column(k).to_numpy()]) for h, k in zip(held, names)]
-        last = int(np.searchsorted(new[0], new[0][-1]))
-        held = [x[last:] for x in new]
-        if last:
-            yield total(*(x[:last] for x in new))
-        if kept >= _HELD:
-            yield successors()
-    if len(held[0]):
-        yield total(*held)
-        yield successors()
-        yield rows([-2], [0], [ones], [twos])
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by word: (unit, word, c, t) with the word's count and its successors in all units.
-
-    Rows of unit -1 bring successors; a row of unit -1 is returned once a word.
-    """
-    held = [np.zeros(0, np.int64)] * 4
-
-    def total(word: np.ndarray, unit: np.ndarray, n: np.ndarray, t: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        sums, after = np.add.reduceat(n, cut), np.add.reduceat(t, cut)
-        many = np.diff(np.append(cut, len(word)))
-        own, seen = unit >= 0, sums > 0
-        columns = [
-            np.concatenate([unit[own], np.full(seen.sum(), -1)]),
-            np.concatenate([word[own], word[cut][seen]]),
-            np.concatenate([np.repeat(sums, many)[own], sums[seen]]),
-            np.concatenate([np.repeat(after, many)[own], after[seen]]),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["unit", "word", "c", "t"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [np.concatenate([h, batch.column(k).to_numpy()]) for h, k in zip(held, ("word", "unit", "n", "t"))]
-        last = int(np.searchsorted(new[0], new[0][-1]))
-        held = [x[last:] for x in new]
-        if last:
-            yield total(*(x[:last] for x in new))
-    if len(held[0]):
-        yield total(*held)
+
+def pack_numbers(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_numbers(blob: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
+
+
+# What a unit knows by itself
 
 
 @dataclass
-class Contexts:
-    """The tokens of a dense automaton, sorted by hash; class 0 .. k-1, k: any other token, k + 1: the start."""
+class Level:
+    """The distinct n-grams of a unit, by hash; sums over the corpus as they become known.
+
+    ``at`` is the n-gram that ends at each place (-1: none so long), ``first`` a place of each n-gram.
+    The first level holds the start of a text as well, as a history.
+    """
 
-    words: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+    own: np.ndarray
+    count: np.ndarray = field(default_factory=lambda: _NONE)
+    after: np.ndarray = field(default_factory=lambda: _NONE)
 
     @property
-    def other(self) -> int:
-        return len(self.words)
+    def start(self) -> int:
+        return int(np.searchsorted(self.keys, START))
+
+
+class Grams:
+    """The n-grams of the asked levels (and their histories' places) of one unit."""
+
+    def __init__(self, unit: Unit, asked: range) -> None:
+        parts = [tokens(texts) for texts in unit.slices()]
+        t = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+        self.cuts = np.concatenate([[0], *(p[1][1:] + e for p, e in zip(parts, ends))]).astype(np.int64)
+        self.test = held_out(unit.ids)
+        live = np.repeat(~self.test, np.diff(self.cuts))
+        begins = np.zeros(len(t), bool)
+        begins[self.cuts[:-1]] = True
+        key, valid = t, np.ones(len(t), bool)
+        token = mix(t + START)
+        self.levels: dict[int, Level] = {}
+        for n in range(1, asked.stop):
+            if n > 1:
+                before = np.empty_like(key)
+                before[1:] = key[:-1]
+                if n == 2:
+                    before[begins] = START
+                else:
+                    ok = np.empty_like(valid)
+                    ok[1:] = valid[:-1]
+                    valid = ok & ~begins
+                key = mix(before ^ token)
+            if n in asked:
+                self.levels[n] = self._level(key, valid, live, int((~self.test).sum()) if n == 1 else None)
+
+    @staticmethod
+    def _level(key: np.ndarray, valid: np.ndarray, live: np.ndarray, texts: int | None) -> Level:
+        place = np.flatnonzero(valid)
+        own = key[place]
+        order = np.argsort(own)
+        own = own[order]
+        new = np.append(True, own[1:] != own[:-1])[: len(own)]
+        cut = np.flatnonzero(new)
+        at = np.full(len(key), -1, np.int64)
+        at[place[order]] = np.cumsum(new) - 1
+        count = np.add.reduceat(live[place[order]].astype(np.int64), cut) if len(cut) else _NONE
+        keys, first = own[cut], place[order[cut]]
+        if texts is not None:  # the start of a text is a history as often as there are training texts
+            s = int(np.searchsorted(keys, START))
+            keys, first, count = np.insert(keys, s, START), np.insert(first, s, -1), np.insert(count, s, texts)
+            at += at >= s
+        return Level(keys, first, at, count)
+
+    def histories(self, n: int, places: np.ndarray) -> np.ndarray:
+        """For places where n-grams of level n + 1 end: the number of the history among level n."""
+        level = self.levels[n]
+        before = level.at[places - 1]
+        return np.where(np.isin(places, self.cuts[:-1]), level.start, before) if n == 1 else before
+
+
+def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of the ranges of hashes begins among sorted keys."""
+    width = (1 << 64) // parts + 1
+    return np.searchsorted(keys, np.array([k * width for k in range(parts)], dtype=np.uint64))
+
+
+def _read(levels: dict[int, Level], answers: pa.Table, unit: int) -> dict[int, np.ndarray]:
+    """Fill in the totals that were answered; returns the marks by level."""
+    marks = {}
+    answers = answers.sort_by([("level", "ascending"), ("part", "ascending")])
+    of, whose = answers.column("level").to_numpy(), answers.column("unit").to_numpy()
+    for n, level in levels.items():
+        rows = np.flatnonzero((of == n) & (whose == unit))
+        join = lambda name: np.concatenate([_NONE, *(unpack_numbers(answers.column(name)[int(i)].as_py()) for i in rows)])  # noqa: E731, B023
+        level.count, level.after, marks[n] = join("counts"), join("after"), join("marks").astype(bool)
+    return marks
+
+
+_SENT = "part int, unit long, level int, keys binary, counts binary, after binary"
+_ANSWER = "unit long, part int, level int, counts binary, after binary, marks binary, stats array<long>"
+_BLOBS = (pa.binary(), pa.binary(), pa.binary())
+
+
+def _sent(grams: Grams, unit: int, n: int, after: np.ndarray, parts: int) -> pa.Table:
+    level = grams.levels[n]
+    cuts = np.append(_ranges(level.keys, parts), len(level.keys))
+    spans = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+    blobs = [[pack_sorted(level.keys[s]) for _, s in spans], [pack_numbers(level.own[s]) for _, s in spans], [pack_numbers(after[s]) for _, s in spans]]
+    columns = [pa.array([k for k, _ in spans], pa.int32()), pa.array([unit] * len(spans), pa.int64()), pa.array([n] * len(spans), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)]
+    return pa.Table.from_arrays(columns, [f.split()[0] for f in _SENT.split(", ")])
+
+
+def _top(n: int, parts: int):
+    """The longest n-grams of each unit; nothing follows them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in unpack(batch):
+                grams = Grams(unit, range(n, n + 1))
+                yield from _sent(grams, unit.unit, n, np.zeros(len(grams.levels[n].keys), np.int64), parts).to_batches()
 
-    def of(self, t: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(t), np.int64)
-        at = np.minimum(np.searchsorted(self.words, t), len(self.words) - 1)
-        return np.where(self.words[at] == t, at, len(self.words))
+    return run
 
-    def states(self, t: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The state before each token, and the token's class."""
-        c = self.of(t)
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        before[cuts[:-1]] = self.other + 1
-        return before, c
 
+def _below(n: int, parts: int):
+    """The n-grams of a level, with how many marked ones of the level above continue them."""
 
-@dataclass
-class Automaton:
-    """The whole model as one table, for a few tokens: what ``Backoff`` is held against."""
+    def run(units: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for unit in unpack(units.combine_chunks()):
+            grams = Grams(unit, range(n, n + 2))
+            marks = _read(grams.levels, answers, unit.unit)[n + 1]
+            longer = grams.levels[n + 1]
+            history = grams.histories(n, longer.first[marks & (longer.first >= 0)])
+            out.append(_sent(grams, unit.unit, n, np.bincount(history, minlength=len(grams.levels[n].keys)), parts))
+        return pa.concat_tables(out) if out else _empty(_SENT)
 
-    contexts: Contexts
-    arcs: np.ndarray  # discounted probability of each arc between context states, 0 without one
-    fail: np.ndarray  # weight of each context state's failure arc
-    total: int  # N
-    distinct: int  # V
-    discount: float
-
-    @classmethod
-    def build(cls, contexts: Contexts, pairs: np.ndarray, total: int, distinct: int, ones: int, twos: int) -> Automaton:
-        arcs = np.maximum(pairs - _discount(int((pairs == 1).sum()), int((pairs == 2).sum())), 0.0)
-        arcs[:, contexts.other :] = 0  # other tokens have no arc of their own
-        arcs /= np.maximum(pairs.sum(1), 1)[:, None]
-        return cls(contexts, arcs, 1 - arcs.sum(1), total, distinct, _discount(ones, twos))
-
-    def run(self, texts: Texts, vocabulary: np.ndarray, counts: np.ndarray, smooth: float = 0.1) -> dict[str, np.ndarray]:
-        """Read all texts from left to right; vocabulary: sorted hashes, counts: theirs in training."""
-        t, cuts = tokens(texts)
-        c = counts[np.searchsorted(vocabulary, t)].astype(np.float64)
-        base = np.log10((c + smooth) / (self.total + smooth * (self.distinct + 1)))
-        unmet = self.discount * self.distinct / self.total if self.total else 1.0
-        unigram = np.where(c > 0, (c - self.discount) / max(self.total, 1), unmet)
-        before, after = self.contexts.states(t, cuts)
-        log = np.log10(self.arcs[before, after] + self.fail[before] * unigram)
-        return {
-            "n_tokens": np.diff(cuts),
-            "n_known": np.add.reduceat((c > 0).astype(np.int64), cuts[:-1]),
-            "base_score": np.add.reduceat(base, cuts[:-1]),
-            "score": np.add.reduceat(log, cuts[:-1]),
-        }
-
-
-def _discount(ones: int, twos: int) -> float:
+    return run
+
+
+def _empty(schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.Table.from_pylist([], pa.schema([(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))]))
+
+
+def add_up(table: pa.Table) -> pa.Table:
+    """One range: totals for every unit in the order it sent them, marks, and the range's sums.
+
+    stats: n-grams seen once, seen twice, seen, and their counts; texts' starts aren't n-grams.
+    """
+    table = table.sort_by("unit")
+    decode = lambda name, f: [f(x.as_py()) for x in table.column(name)]
+    keys = decode("keys", unpack_sorted)
+    sizes = np.cumsum([len(k) for k in keys])[:-1]
+    key, own, more = (np.concatenate(x) for x in (keys, decode("counts", unpack_numbers), decode("after", unpack_numbers)))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    many = np.diff(np.append(cut, len(key)))
+    own = own[order]
+    sums, successors = np.add.reduceat(own, cut), np.add.reduceat(more[order], cut)
+    # of the units that hold it in training texts, the first is marked
+    seen = np.cumsum(own > 0)
+    before = np.repeat(seen[cut] - (own[cut] > 0), many)
+    mark = (own > 0) & (seen - before == 1)
+    back = np.empty((3, len(key)), np.int64)
+    back[:, order] = np.repeat(sums, many), np.repeat(successors, many), mark
+    counted = sums[key[cut] != START]
+    stats = [int((counted == 1).sum()), int((counted == 2).sum()), int((counted > 0).sum()), int(counted.sum())]
+    blobs = [[pack_numbers(x) for x in np.split(b, sizes)] for b in back]
+    columns = [table.column("unit"), table.column("part"), table.column("level"), *(pa.array(b, pa.binary()) for b in blobs), pa.array([stats] + [None] * (table.num_rows - 1), pa.list_(pa.int64()))]
+    return pa.Table.from_arrays(columns, [f.split()[0] for f in _ANSWER.split(", ")])
+
+
+def discount(ones: int, twos: int) -> float:
     """What leave-one-out takes off each count; kept within 0.1 and 0.9 where few counts tell."""
     return min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
 
 
 @dataclass
-class Backoff:
+class Model:
     total: int  # N
     distinct: int  # V
-    discount: float  # of words
-    pair_discount: float
-    begins: int  # distinct tokens that training texts begin with
-
-    def run(self, texts: Texts, words_: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...], smooth: float = 0.1) -> dict[str, np.ndarray]:
-        """Read all texts from left to right; words_: sorted hashes, counts, successors; pairs: sorted hashes, counts."""
-        vocabulary, counts, successors = words_
-        t, cuts = tokens(texts)
-        at = np.searchsorted(vocabulary, t)
-        c = counts[at].astype(np.float64)
-        base = np.log10((c + smooth) / (self.total + smooth * (self.distinct + 1)))
-        unmet = self.discount * self.distinct / self.total if self.total else 1.0
-        unigram = np.where(c > 0, (c - self.discount) / max(self.total, 1), unmet)
-        _, key = pair_keys(t, cuts)
-        both = pairs[1][np.searchsorted(pairs[0], key)]
-        history, after = np.empty_like(c), np.empty_like(c)
-        history[1:], after[1:] = c[:-1], successors[at][:-1]
-        history[cuts[:-1]] = counts[np.searchsorted(vocabulary, END)]  # texts begin as often as they end
-        after[cuts[:-1]] = self.begins
-        arc = np.where(both > 0, both - self.pair_discount, 0) / np.maximum(history, 1)
-        fail = np.where(history > 0, self.pair_discount * after / np.maximum(history, 1), 1)
-        return {
-            "n_tokens": np.diff(cuts),
-            "n_known": np.add.reduceat((c > 0).astype(np.int64), cuts[:-1]),
-            "base_score": np.add.reduceat(base, cuts[:-1]),
-            "score": np.add.reduceat(np.log10(arc + fail * unigram), cuts[:-1]),
-        }
-
-
-def _scores(model: Backoff):
-    schema_names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    discounts: list[float]  # by level
+
+
+class Automaton:
+    """A unit's part of the automaton.
+
+    The states of level n are the n-grams of ``levels[n]`` (n < order) with a count; ``failure[n]`` is
+    the logarithm of their failure arcs' weights.  The arcs of level n are those n-grams of
+    ``levels[n]`` with a count, leaving the state of level n - 1; ``arc[n]`` is the logarithm of their weights.
+    """
+
+    def __init__(self, grams: Grams, model: Model) -> None:
+        self.grams, self.model = grams, model
+        self.order = max(grams.levels)
+        first = grams.levels[1]
+        cut, total = model.discounts[0], max(model.total, 1)
+        chance = np.where(first.count > 0, (first.count - cut) / total, cut * model.distinct / total if model.total else 1.0)
+        self.arc, self.failure = {1: np.log10(chance)}, {}
+        for n in range(2, self.order + 1):
+            level, below = grams.levels[n], grams.levels[n - 1]
+            cut = model.discounts[n - 1]
+            ok = below.count > 0
+            left = np.where(ok, cut * below.after / np.maximum(below.count, 1), 1.0)
+            # a history that only held-out texts hold, or that ends a text, is no state; its weight is never used
+            self.failure[n - 1] = np.log10(np.where(left > 0, left, 1.0))
+            history, shorter = grams.histories(n - 1, level.first), below.at[level.first]
+            seen = np.maximum(level.count - cut, 0) / np.maximum(below.count[history], 1)
+            chance = np.where(ok[history], seen + left[history] * chance[shorter], chance[shorter])
+            self.arc[n] = np.log10(chance)
+
+    def run(self) -> dict[str, np.ndarray]:
+        grams, model = self.grams, self.model
+        cuts, at = grams.cuts, grams.levels[1].at
+        count = grams.levels[1].count[at]
+        base = np.log10((count + SMOOTH) / (model.total + SMOOTH * (model.distinct + 1)))
+        places = np.arange(len(at))
+        log = np.zeros(len(at))
+        waiting = np.ones(len(at), bool)
+        for n in range(self.order, 0, -1):
+            # arrived at level n - 1, by failure or because no longer history is a state
+            level = grams.levels[n]
+            here = places[waiting & (level.at >= 0)]
+            gram = level.at[here]
+            if n > 1:
+                state = grams.histories(n - 1, here)
+                real = grams.levels[n - 1].count[state] > 0
+                here, gram, state = here[real], gram[real], state[real]
+            arc = level.count[gram] > 0 if n > 1 else np.ones(len(gram), bool)
+            log[here[arc]] += self.arc[n][gram[arc]]
+            waiting[here[arc]] = False
+            if n > 1:
+                log[here[~arc]] += self.failure[n - 1][state[~arc]]
+        fold = lambda x: np.add.reduceat(x, cuts[:-1]) if len(x) else x
+        return {"n_tokens": np.diff(cuts), "n_known": fold((count > 0).astype(np.int64)), "base_score": fold(base), "score": fold(log)}
+
+
+def _scores(model: Model, order: int):
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def run(units: pa.Table, answers: pa.Table) -> pa.Table:
-        word, c, t = (answers.column(k).to_numpy() for k in ("word", "c", "t"))
-        own = t >= 0
-        order = np.argsort(word[own].view(np.uint64))
-        vocabulary = [x[own][order] for x in (word, c, t)]
-        vocabulary[0] = vocabulary[0].view(np.uint64)
         out = []
         for unit in unpack(units.combine_chunks()):
-            key, _, n = unit_pairs(unit)
-            n[np.searchsorted(key, word[~own].view(np.uint64))] = c[~own]
-            test = held_out(unit.ids)
-            for texts in unit.slices():
-                r = model.run(texts, tuple(vocabulary), (key, n))
-                rows = slice(texts.first, texts.first + texts.n)
-                out.append(
-                    pa.Table.from_arrays(
-                        [unit.ids.slice(texts.first, texts.n), pa.array(test[rows]), pa.array(r["n_tokens"], pa.int64()), pa.array(r["n_known"], pa.int64()), pa.array(np.full(texts.n, model.total), pa.int64()), pa.array(r["base_score"]), pa.array(r["score"])],
-                        schema_names,
-                    )
-                )
+            grams = Grams(unit, range(1, order + 1))
+            _read(grams.levels, answers, unit.unit)
+            r = Automaton(grams, model).run()
+            n = len(unit.ids)
+            columns = [unit.ids, pa.array(grams.test), pa.array(r["n_tokens"], pa.int64()), pa.array(r["n_known"], pa.int64()), pa.array(np.full(n, model.total), pa.int64()), pa.array(r["base_score"]), pa.array(r["score"])]
+            out.append(pa.Table.from_arrays(columns, names))
         return pa.concat_tables(out)
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """One row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if order < 2:
+        raise ValueError("an automaton with failure arcs has an order of at least 2")
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     units = pack(docs, "lm-units")
-    tasks = max(1, units.count())
-    fields = "unit long, word long, c long, t long"
-    sent = units.mapInArrow(_pair_rows, "unit long, pair long, word long, n long")
-    pairs = materialize(sent.repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(_pair_answers, fields), "lm-pairs")
-    release(docs.sparkSession)
-    successors = pairs.where("unit = -1").groupBy("word").agg(F.sum("t").alias("t"))
-    rows = units.mapInArrow(_token_rows, "unit long, word long, n long, t long")
-    rows = rows.union(successors.select(F.lit(-1).cast("long").alias("unit"), "word", F.lit(0).cast("long").alias("n"), "t"))
-    answers = materialize(rows.repartition("word").sortWithinPartitions("word").mapInArrow(_answers, fields), "lm-counts")
-    release(docs.sparkSession)
-    stats = answers.where("unit = -1").agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    start = int(START.view(np.int64))
-    twice = pairs.where("unit = -2").agg(F.sum("c"), F.sum("t")).first()
-    begins = pairs.where(f"unit = -1 AND word = {start}").agg(F.sum("t")).first()[0]
-    model = Backoff(stats[0] or 0, stats[1], _discount(*stats[2:]), _discount(*(x or 0 for x in twice)), begins or 0)
-    replies = answers.where("unit >= 0").union(pairs.where("unit >= 0"))
+    parts = max(1, units.count())
+    known: list[DataFrame] = []
+    discounts: list[float] = []
+    stats = None
+    for n in range(order, 0, -1):
+        sent = together(units, known[-1]).applyInArrow(_below(n, parts), _SENT) if known else units.mapInArrow(_top(n, parts), _SENT)
+        added = sent.repartition(parts, "part").groupBy("part").applyInArrow(add_up, _ANSWER)
+        known.append(materialize(added, f"lm-{n}"))
+        del sent, added
+        release(spark)
+        stats = known[-1].select(*(F.sum(F.col("stats")[k]) for k in range(4))).first()
+        discounts.append(discount(stats[0] or 0, stats[1] or 0))
+    model = Model(stats[3] or 0, stats[2] or 0, discounts[::-1])
+    answers = known[0]
+    for other in known[1:]:
+        answers = answers.union(other)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return together(units, replies).applyInArrow(_scores(model), schema)
+    return together(units, answers.drop("stats")).applyInArrow(_scores(model, order), schema)

@@ -248,43 +248,67 @@ def test_language_model(documents, texts, odd, none):
     assert lm.score(none).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    words = np.array([1, 2, 3, 4], dtype=np.uint64)
-    counts = np.array([5, 3, 1, 1])
-    states = lm.Contexts(words[:2])
-    pairs = np.array([[2, 1, 1, 0], [1, 1, 1, 0], [2, 0, 0, 0], [0, 1, 1, 0]], float)
-    model = lm.Automaton.build(states, pairs, 10, 4, 2, 0)
-    unmet = model.discount * model.distinct / model.total
-    unigram = np.append((counts - model.discount) / model.total, unmet)
-    assert abs(unigram.sum() - 1) < 1e-12
-    after = [0, 1, 2, 2, 2]
-    for state in range(4):
-        assert abs(sum(model.arcs[state, c] + model.fail[state] * u for c, u in zip(after, unigram)) - 1) < 1e-12
-
-
-@pytest.mark.parametrize("unit_bytes", [1 << 24, 1 << 13])
-def test_language_model_has_every_pair(documents, texts, monkeypatch, unit_bytes):
-    """Scores of documents in one and in many units are those of all pairs counted in one place."""
-    from collections import Counter
-
+def _backoff(seqs, out, order):
+    """The smoothed probabilities from all n-grams counted in one place, by definition."""
+    from collections import Counter, defaultdict
+
+    count = [Counter() for _ in range(order + 1)]
+    for s, o in zip(seqs, out):
+        if not o:
+            for n in range(1, order + 1):
+                x = s if n == 1 else [1, *s]
+                count[n].update(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    history, after = Counter(), defaultdict(set)
+    for n in range(2, order + 1):
+        for g, c in count[n].items():
+            history[g[:-1]] += c
+            after[g[:-1]].add(g[-1])
+    cut = [None, *(lm.discount(sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())) for c in count[1:])]
+    total = sum(count[1].values())
+
+    def chance(h, w):
+        if not h:
+            return ((count[1][w,] - cut[1]) if (w,) in count[1] else cut[1] * len(count[1])) / total
+        if h not in history:
+            return chance(h[1:], w)
+        n = len(h) + 1
+        return (max(count[n][*h, w] - cut[n], 0) + cut[n] * len(after[h]) * chance(h[1:], w)) / history[h]
+
+    return chance, [w for (w,) in count[1]]
+
+
+@pytest.mark.parametrize("order,unit_bytes", [(2, 1 << 24), (3, 1 << 24), (3, 1 << 13), (4, 1 << 16)])
+def test_language_model_is_the_backoff_of_all_ngrams(documents, texts, monkeypatch, order, unit_bytes):
+    """Scores of documents in one and in many units are those of all n-grams counted in one place."""
     pack = lm.pack
     monkeypatch.setattr(lm, "pack", lambda docs, label: pack(docs, label, unit_bytes))
     out = lm.held_out(pa.array([i for i, _ in texts]))
     seqs = [[*brute.WORD.findall(brute.lower(t)), 0] for _, t in texts]
-    train = [s for s, o in zip(seqs, out) if not o]
-    word, pair = Counter(w for s in train for w in s), Counter(p for s in train for p in zip([1, *s], s))
-    history, after = Counter(), Counter()
-    for (h, _), n in pair.items():
-        history[h] += n
-        after[h] += 1
-    cut = lambda c: lm._discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
-    d, e, total = cut(word), cut(pair), sum(word.values())
-    unigram = lambda w: (word[w] - d if w in word else d * len(word)) / total
-    chance = lambda h, w: (max(pair[h, w] - e, 0) + e * after[h] * unigram(w)) / history[h] if h in history else unigram(w)
-    got = {r.doc_id: r.score for r in lm.score(documents).collect()}
+    chance, vocabulary = _backoff(seqs, out, order)
+    got = {r.doc_id: r.score for r in lm.score(documents, order).collect()}
     for (i, _), s in zip(texts, seqs):
-        want = sum(np.log10(chance(h, w)) for h, w in zip([1, *s], s))
-        assert abs(got[i] - want) < 1e-6 * abs(want)
+        x = [1, *s]
+        want = sum(np.log10(chance(tuple(x[max(0, k - order + 1) : k]), x[k])) for k in range(1, len(x)))
+        assert abs(got[i] - want) < 1e-9 * abs(want)
+    for h in ((), (1,), (1, seqs[0][0])[-order + 1 :], tuple(seqs[3][:2])[-order + 1 :]):
+        assert abs(sum(chance(h, w) for w in [*vocabulary, "never met"]) - 1) < 1e-9
+
+
+def test_language_model_without_training_texts(spark):
+    ids = [i for i in range(200) if lm.held_out(pa.array([i]))[0]][:3]
+    df = spark.createDataFrame([(ids[0], "a b"), (ids[1], None), (ids[2], "b")], "doc_id bigint, text string")
+    rows = lm.score(df).collect()
+    assert [(r.held_out, r.n_known, r.train_tokens, r.score) for r in rows] == [(True, 0, 0, 0.0)] * 3
+    assert sorted(r.n_tokens for r in rows) == [1, 2, 3]
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        x = np.sort(r.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))
+        assert lm.unpack_sorted(lm.pack_sorted(x)).tolist() == x.tolist()
+        y = r.integers(-5, 1 << 62, n)
+        assert lm.unpack_numbers(lm.pack_numbers(y)).tolist() == y.tolist()
 
 
 # -- 7 and 10: spans ----------------------------------------------------------------------------------
