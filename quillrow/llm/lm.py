@@ -54,6 +54,8 @@ from .workspace import materialize, release
 #: The hash that stands for the end token: no word has it but by chance, like any other hash.
 END, START = np.uint64(0x5EED0E4D00000001), np.uint64(0x5EED0E4D00000002)
 FOLDS, ORDER, SMOOTH = 10, 3, 0.1
+#: Bytes of text in a unit; of an n-gram a task holds some dozens.
+UNIT = 1 << 23
 _NONE = np.zeros(0, np.int64)
 
 
@@ -112,12 +114,13 @@ class Level:
     first: np.ndarray
     at: np.ndarray
     own: np.ndarray
+    start: int = -1
     count: np.ndarray = field(default_factory=lambda: _NONE)
     after: np.ndarray = field(default_factory=lambda: _NONE)
 
-    @property
-    def start(self) -> int:
-        return int(np.searchsorted(self.keys, START))
+    def settled(self) -> None:
+        """Let go of what only a question needs."""
+        self.keys, self.own = self.keys[:0], self.own[:0]
 
 
 class Grams:
@@ -151,21 +154,20 @@ class Grams:
 
     @staticmethod
     def _level(key: np.ndarray, valid: np.ndarray, live: np.ndarray, texts: int | None) -> Level:
-        place = np.flatnonzero(valid)
+        place = np.flatnonzero(valid).astype(np.int32)
+        place = place[np.argsort(key[place])]
         own = key[place]
-        order = np.argsort(own)
-        own = own[order]
         new = np.append(True, own[1:] != own[:-1])[: len(own)]
         cut = np.flatnonzero(new)
-        at = np.full(len(key), -1, np.int64)
-        at[place[order]] = np.cumsum(new) - 1
-        count = np.add.reduceat(live[place[order]].astype(np.int64), cut) if len(cut) else _NONE
-        keys, first = own[cut], place[order[cut]]
+        at = np.full(len(key), -1, np.int32)
+        at[place] = np.cumsum(new, dtype=np.int32) - 1
+        count = np.add.reduceat(live[place], cut, dtype=np.int32) if len(cut) else np.zeros(0, np.int32)
+        keys, first, s = own[cut], place[cut], -1
         if texts is not None:  # the start of a text is a history as often as there are training texts
             s = int(np.searchsorted(keys, START))
             keys, first, count = np.insert(keys, s, START), np.insert(first, s, -1), np.insert(count, s, texts)
             at += at >= s
-        return Level(keys, first, at, count)
+        return Level(keys, first, at, count, s)
 
     def histories(self, n: int, places: np.ndarray) -> np.ndarray:
         """For places where n-grams of level n + 1 end: the number of the history among level n."""
@@ -201,7 +203,7 @@ def _sent(grams: Grams, unit: int, n: int, after: np.ndarray, parts: int) -> pa.
     level = grams.levels[n]
     cuts = np.append(_ranges(level.keys, parts), len(level.keys))
     spans = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
-    blobs = [[pack_sorted(level.keys[s]) for _, s in spans], [pack_numbers(level.own[s]) for _, s in spans], [pack_numbers(after[s]) for _, s in spans]]
+    blobs = [[pack_sorted(level.keys[s]) for _, s in spans], [pack_numbers(level.own[s].astype(np.int64)) for _, s in spans], [pack_numbers(after[s]) for _, s in spans]]
     columns = [pa.array([k for k, _ in spans], pa.int32()), pa.array([unit] * len(spans), pa.int64()), pa.array([n] * len(spans), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)]
     return pa.Table.from_arrays(columns, [f.split()[0] for f in _SENT.split(", ")])
 
@@ -340,6 +342,8 @@ def _scores(model: Model, order: int):
         out = []
         for unit in unpack(units.combine_chunks()):
             grams = Grams(unit, range(1, order + 1))
+            for level in grams.levels.values():
+                level.settled()
             _read(grams.levels, answers, unit.unit)
             r = Automaton(grams, model).run()
             n = len(unit.ids)
@@ -356,7 +360,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         raise ValueError("an automaton with failure arcs has an order of at least 2")
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    units = pack(docs, "lm-units")
+    units = pack(docs, "lm-units", UNIT)
     parts = max(1, units.count())
     known: list[DataFrame] = []
     discounts: list[float] = []

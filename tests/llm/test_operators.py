@@ -208,7 +208,8 @@ def test_leaks_match_brute_force(spark):
             x[j : j + int(r.integers(0, 2))] = [int(c) for c in r.choice(list(b"abcdefg "), int(r.integers(0, 2)))]
         doc = "some other words, " + bytes(x).decode(errors="ignore") + " - and the rest of it"
         data, _, offsets = decontamination.fold(np.frombuffer(doc.encode(), np.uint8), np.array([0, len(doc.encode())]))
-        got = [m for m in index.matches(data, offsets) if m[1] == i]
+        got = [m for m in index.matches(data, offsets) if m[1] in index.ids[i]]
+        assert index.matches(data, offsets, hits=20) == index.matches(data, offsets)
         best = _edits(p, decontamination.fold_text(doc))
         assert bool(got) == (best <= e) and (not got or got[0][2] == best)
         found += bool(got)
@@ -228,7 +229,43 @@ def test_leaks_spans_and_odd_rows(spark, odd, none):
     assert decontamination.without_leaks(odd, bench).count() == len(ODD)
     assert decontamination.leaks(none, bench).count() == 0
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0
-    assert sum(1 for _ in decontamination.blocks(bench, 0.1, most=40)) >= 1
+    for most in (40, 5000):
+        parts = [*decontamination.blocks(bench, 0.1, most)]
+        assert sorted(i for x in parts for own in [*x.ids, *(o for s in x.short.values() for o in s.values())] for i in own) == [1, 3]
+    few = decontamination.leaks(docs, bench, most=2_000_000)
+    assert sorted(map(str, decontamination.leaks(docs, bench, most=40).collect())) == sorted(map(str, few.collect()))
+    assert sorted(r.doc_id for r in decontamination.without_leaks(docs, bench, most=40).collect()) == [11, 12]
+
+
+def test_leaks_of_short_items_and_every_region(spark):
+    passage = "Seven wizards quietly drink their tea while the brown fox jumps over a dog"
+    bench = spark.createDataFrame([(1, "cat sat"), (2, "3+4=7"), (3, passage), (4, passage.lower()), (5, "?!"), (6, "é")], "item_id bigint, text string")
+    docs = [
+        (1, "The cat sat; and 3 + 4 = 7, he said."),
+        (2, "the cat satisfied concat sat 13+4=7"),
+        (3, f"{passage}. {passage.replace('quietly', 'quiet')}! And {passage.upper()}"),
+        (4, "cat"),
+        (5, "sat"),
+        (6, "É"),
+        (7, "café"),
+    ]
+    rows = decontamination.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect()
+    got = sorted((r.doc_id, r.item_id, r.edits, dict(docs)[r.doc_id][r.start : r.end]) for r in rows)
+    three = [passage, passage.replace("quietly", "quiet"), passage.upper()]
+    want = [(1, 1, 0, "cat sat"), (1, 2, 0, "3 + 4 = 7"), (6, 6, 0, "É")]
+    want += [(3, i, 2 * (k == 1), t) for i in (3, 4) for k, t in enumerate(three)]
+    assert got == sorted(want)
+
+
+def test_leaks_in_periodic_texts_and_turns():
+    """Texts and passages that repeat themselves: every count of hits at once gives the same regions."""
+    index = decontamination.Index([1, 2, 3], ["ab " * 20, "a" * 60, "xyz " * 10 + "a" * 20], 0.1)
+    for text in ("ab " * 400, "a" * 900, "a" * 70 + " b " + "ab " * 70, "xyz " * 40 + "a" * 90):
+        data, _, offsets = decontamination.fold(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        want = index.matches(data, offsets)
+        assert want and all(x[4] <= y[3] for x, y in zip(want, want[1:]) if x[1] == y[1])
+        for hits in (10, 1000):
+            assert index.matches(data, offsets, hits) == want
 
 
 # -- 6: language model --------------------------------------------------------------------------------
@@ -277,11 +314,10 @@ def _backoff(seqs, out, order):
     return chance, [w for (w,) in count[1]]
 
 
-@pytest.mark.parametrize("order,unit_bytes", [(2, 1 << 24), (3, 1 << 24), (3, 1 << 13), (4, 1 << 16)])
+@pytest.mark.parametrize("order,unit_bytes", [(2, 1 << 23), (3, 1 << 16), (4, 1 << 17)])
 def test_language_model_is_the_backoff_of_all_ngrams(documents, texts, monkeypatch, order, unit_bytes):
     """Scores of documents in one and in many units are those of all n-grams counted in one place."""
-    pack = lm.pack
-    monkeypatch.setattr(lm, "pack", lambda docs, label: pack(docs, label, unit_bytes))
+    monkeypatch.setattr(lm, "UNIT", unit_bytes)
     out = lm.held_out(pa.array([i for i, _ in texts]))
     seqs = [[*brute.WORD.findall(brute.lower(t)), 0] for _, t in texts]
     chance, vocabulary = _backoff(seqs, out, order)
