@@ -55,13 +55,11 @@ lw AS (
   FROM l WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r),
 dl AS (SELECT r, h, sum(n) AS n FROM lw GROUP BY r, h),
-rk AS (
-  SELECT r, min(h) AS least, max(CASE WHEN k = 2 THEN h END) AS second
-  FROM (SELECT r, h, row_number() OVER (PARTITION BY r ORDER BY h) AS k FROM dl) GROUP BY r),
-hosts AS (SELECT host, hostless, count(DISTINCT coalesce(least, '') || '/' || coalesce(second, '')) AS documents FROM d LEFT JOIN rk USING (r) GROUP BY host, hostless),
+wh AS (SELECT r, string_agg(h, ',' ORDER BY h) AS whole FROM dl GROUP BY r),
+hosts AS (SELECT host, hostless, count(DISTINCT coalesce(whole, '')) AS documents FROM d LEFT JOIN wh USING (r) GROUP BY host, hostless),
 held AS (
-  SELECT host, hostless, h, count(*) AS held_by
-  FROM (SELECT DISTINCT host, hostless, h, CASE WHEN h = least THEN coalesce(second, '') ELSE least END AS other FROM dl JOIN rk USING (r) JOIN d USING (r))
+  SELECT host, hostless, h, count(DISTINCT whole) AS held_by
+  FROM dl JOIN wh USING (r) JOIN d USING (r)
   GROUP BY host, hostless, h),
 freq AS (SELECT host, hostless, h FROM held JOIN hosts USING (host, hostless) WHERE held_by > 10 AND held_by > documents * 0.01e0),
 gone AS (SELECT r, sum(n) AS n FROM dl JOIN d USING (r) JOIN freq USING (host, hostless, h) GROUP BY r),
