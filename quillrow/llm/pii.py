@@ -1,14 +1,17 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The field labels words as outside, or as first or inner word of an email address, an IP address, a
-card or account number, or a phone number.  It is trained on the small labelled table below by
+card number, or a phone number.  It is trained on the small labelled table below by
 gradient ascent on the regularised log-likelihood (forward-backward in numpy) and decoded by Viterbi
-in batches of equally padded sequences.  A sequence is a run of words within ``REACH`` of a word
-that holds a digit or an at sign; words outside all sequences are outside
-by definition, so every text is covered whole.
+in batches of equally padded sequences.  A word more than ``REACH`` words from any that holds a digit or
+an at sign can only be outside (a span has such words, and no gap of that length): a structural zero of
+the field.  A text therefore falls into sequences between words that are outside, and decoding each
+with one such word on either side gives what decoding the whole text would give.  Words count whole,
+whatever their length.
 
 Defined results: null or empty text has no spans; fixed-pattern spans stay, and a labelled span is
-added only where it overlaps none of them; repeated rows each give a row; an empty table gives an
+added only where it overlaps none of them and could be of its kind (an at sign; four numbers up to 255; 12 to
+19 digits that pass Luhn; 9 to 15 digits); repeated rows each give a row; an empty table gives an
 empty result; extra columns are ignored.
 
 Scale: a map without a shuffle; the field is trained on the driver from a table of bounded size.
@@ -17,6 +20,8 @@ Scale: a map without a shuffle; the field is trained on the driver from a table
 from __future__ import annotations
 
 import random
+import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .spans import ALNUM, DIGIT, CodePoints, Scan, byte_class, digest, listing
+from .spans import ALNUM, DIGIT, CodePoints, Scan, byte_class, digest, listing, luhn
 from .textbatch import Texts, slices, words
 
 KINDS = ("email", "ip", "card", "phone")
@@ -32,7 +37,9 @@ LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
 REACH = 2
 #: Words, padding included, that are labelled at once; a longer sequence is labelled by itself.
 BATCH_WORDS = 1 << 19
-SENTENCES = 800  # rows of the labelled table
+SENTENCES = 1000  # rows of the labelled table
+#: Words that tell what follows.
+CUES = {w: k for k, ws in enumerate(("phone tel telephone call fax mobile cell whatsapp ruf telefon appeler llame", "card visa credit debit account mastercard karte carte tarjeta", "ssn isbn order invoice id no nr ref number case ticket")) for w in ws.encode().split()}
 _EDGE = ALNUM | byte_class(b"+()@") | byte_class(bytes(range(128, 256)))
 _SPECIAL = (DIGIT | byte_class(b"@")).copy()
 
@@ -65,6 +72,11 @@ def labelled(n: int = SENTENCES, seed: int = 5) -> list[list[tuple[str, str]]]:
                 lambda: [f"+{d(2)}", d(3), d(3), d(4)],
                 lambda: [f"{d(3)}-{d(3)}-{d(4)}"],
                 lambda: [f"+{d(2)}", f"{d(2)}", f"{d(4)}-{d(4)}"],
+                lambda: [f"{d(3)}.{d(3)}.{d(4)}"],
+                lambda: [d(3), d(3), d(4)],
+                lambda: [f"00{d(2)}", d(2), d(4), d(4)],
+                lambda: [f"0{d(2)}", d(8)],
+                lambda: [f"(0{d(2)})", d(4), d(4)],
             ]
         )()
 
@@ -86,20 +98,31 @@ def labelled(n: int = SENTENCES, seed: int = 5) -> list[list[tuple[str, str]]]:
                 lambda: [f"{d(3)}-{d(2)}"],
                 lambda: [f"({d(1)})"],
                 lambda: [d(3), d(2), d(4)],
+                lambda: [f"{d(3)}-{d(2)}-{d(4)}"],
+                lambda: [f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}"],
+                lambda: [d(r.randint(7, 11))],
+                lambda: [f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}:{d(2)}"],
+                lambda: [d(r.randint(1, 3)), d(r.randint(1, 3)), d(r.randint(1, 3))],
+                lambda: [d(3), d(3), d(3)],
                 lambda: ["version", d(1) + "."],
             ]
         )()
 
     makers = dict(zip(KINDS, (email, ip, card, phone)))
+    cues = [[w.decode() for w, k in CUES.items() if k == n] for n in range(3)]
     rows = []
     for _ in range(n):
         row: list[tuple[str, str]] = [(junk(word()), "O") for _ in range(r.randint(0, 3))]
         for _ in range(r.randint(1, 3)):
             if r.random() < 0.5:
+                if r.random() < 0.2:
+                    row.append((r.choice(cues[2]) + r.choice(["", ":"]), "O"))
                 row += [(junk(w), "O") for w in plain()]
             else:
                 kind = r.choice(KINDS)
                 parts = makers[kind]()
+                if kind in ("card", "phone") and r.random() < 0.3:
+                    row.append((r.choice(cues[kind == "card"]) + r.choice(["", ":"]), "O"))
                 parts[-1] = junk(parts[-1])
                 if r.random() < 0.15:
                     parts = [p.upper() for p in parts]
@@ -110,8 +133,11 @@ def labelled(n: int = SENTENCES, seed: int = 5) -> list[list[tuple[str, str]]]:
 
 
 #: Features: hashed shape, digit count, and marks, of the word and of its two neighbours.
-_BUCKETS = 512
-FEATURES = 3 * (_BUCKETS + 24 + 8)
+_BUCKETS, _MARKS = 2048, 12
+FEATURES = 3 * (_BUCKETS + 24 + _MARKS)
+#: Digits as 9, letters and other characters as a, the rest as it is; equal neighbours once, but for brackets.
+_SHAPE = bytes(57 if 48 <= b <= 57 else 97 if ALNUM[b] or b >= 128 else b for b in range(256))
+_AGAIN = re.compile(rb"([^(])\1+", re.DOTALL)
 
 
 def _word_features(word: bytes) -> tuple[int, ...]:
@@ -122,19 +148,10 @@ def _word_features(word: bytes) -> tuple[int, ...]:
     while e > s and not _EDGE[word[e - 1]] and word[e - 1] != 41:
         e -= 1
     core = word[s:e]
-    shape, last = [], ""
-    n = 0
-    for b in core[:64]:
-        c = "9" if 48 <= b <= 57 else "a" if ALNUM[b] or b >= 128 else chr(b)
-        n += c == "9"
-        if c != last or c == "(":
-            shape.append(c)
-        last = c
-    value = 17
-    for c in shape[:16]:
-        value = (value * 131 + ord(c)) % 1000003
-    found = [value % _BUCKETS, _BUCKETS + min(n, 23)]
+    full = core.translate(_SHAPE)
+    n = full.count(b"9")
     marks = _BUCKETS + 24
+    found = [zlib.crc32(_AGAIN.sub(rb"\1", full)) % _BUCKETS, _BUCKETS + min(n, 23)]
     if b"@" in core:
         found.append(marks)
     if core[:1] == b"+":
@@ -147,7 +164,10 @@ def _word_features(word: bytes) -> tuple[int, ...]:
         found.append(marks + 4)
     if not n:
         found.append(marks + 5)
-    if any(65 <= b <= 90 or 97 <= b <= 122 for b in core):
+        cue = CUES.get(core.lower().rstrip(b":"))
+        if cue is not None:
+            found.append(marks + 8 + cue)
+    if b"a" in full:
         found.append(marks + 6)
     found.append(marks + 7)
     return tuple(found)
@@ -179,14 +199,19 @@ class Field:
             rows.append(row)
         return rows
 
-    def scores(self, sequences: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, list]:
-        """Emission scores padded to the longest sequence, lengths, and the features."""
+    def scores(self, sequences: list[list[bytes]], outside: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+        """Emission scores padded to the longest sequence, lengths, and the features.
+
+        outside: for each sequence, which words can only be outside.
+        """
         length = np.array([len(s) for s in sequences])
         out = np.zeros((len(sequences), int(length.max()), len(LABELS)))
         feats = [self.features(s) for s in sequences]
         for b, rows in enumerate(feats):
             for t, row in enumerate(rows):
                 out[b, t] = self.emit[row].sum(0)
+            if outside is not None:
+                out[b, np.flatnonzero(outside[b]), 1:] = -1e9
         return out, length, feats
 
     def viterbi(self, scores: np.ndarray, length: np.ndarray) -> list[np.ndarray]:
@@ -277,7 +302,10 @@ def _core(word: bytes) -> tuple[int, int]:
 def _plausible(kind: int, text: bytes) -> bool:
     """What the contract's own kinds can hold at all; labels that contradict it are dropped."""
     n = int(DIGIT[np.frombuffer(text, np.uint8)].sum())
-    return (b"@" in text, n >= 4 and text.count(b".") == 3, 12 <= n <= 19, 9 <= n <= 15)[kind]
+    if kind == 1:
+        parts = text.split(b".")
+        return len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)
+    return (b"@" in text, None, 12 <= n <= 19 and luhn(text), 9 <= n <= 15)[kind]
 
 
 def tagged(texts: Texts, body: bytes, field: Field, batch: int = BATCH_WORDS) -> list[tuple[int, int, int, int]]:
@@ -297,14 +325,19 @@ def tagged(texts: Texts, body: bytes, field: Field, batch: int = BATCH_WORDS) ->
         chosen[at[ok]] = True
     index = np.flatnonzero(chosen)
     cut = np.flatnonzero(np.append(True, (np.diff(index) != 1) | (np.diff(doc[index]) != 0)))
-    pieces = sorted(np.split(index, cut[1:]), key=len)
+    last = np.append(cut[1:], len(index)) - 1
+    # each with the words on either side, which are outside
+    low = index[cut] - ((index[cut] > 0) & (doc[np.maximum(index[cut] - 1, 0)] == doc[index[cut]]))
+    high = index[last] + 1
+    high += (high < len(doc)) & (doc[np.minimum(high, len(doc) - 1)] == doc[index[last]])
+    pieces = [np.arange(a, b) for a, b in sorted(zip(low.tolist(), high.tolist()), key=lambda x: x[1] - x[0])]
     found, at = [], 0
     while at < len(pieces):
         end = at + 1
         while end < len(pieces) and len(pieces[end]) * (end + 1 - at) <= batch:
             end += 1
         part, at = pieces[at:end], end
-        scores, length, _ = field.scores([[body[w.start[i] : w.end[i]] for i in p.tolist()] for p in part])
+        scores, length, _ = field.scores([[body[w.start[i] : w.end[i]] for i in p.tolist()] for p in part], [~chosen[p] for p in part])
         for p, path in zip(part, field.viterbi(scores, length)):
             i = 0
             while i < len(path):
