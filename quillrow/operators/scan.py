@@ -18,17 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.errors import ERROR_TYPE, LOCATION_TYPE, Kind, QuillError
-from ..plans.formats import CSV, Format
+from ..plans.formats import BOM, CSV, Format
 from ..plans.options import MATCH_FIRST, ParseOptions
 from ..plans.predicate import Predicate
 from ..plans.projection import resolve
 from ..sources import files
 from ..sources.blocks import Wanted, batch, read_block
 from ..sources.parser import Parser
-from ..sources.split import Part, plan
+from ..sources.plain import Plain
+from ..sources.split import Part, chunk_bytes, plan
 
 #: Bytes read at once within a part, and bytes parsed at once, which a core's cache should hold.
 READ, BLOCK = 8 << 20, 1 << 20
+#: Up to so many tasks carry their parts with them; the parts of more are a table.
+CARRIED = 4096
 
 
 def ddl(wanted: Wanted) -> str:
@@ -103,6 +106,47 @@ def parsed_part(part: Part, fmt: Format, options: ParseOptions, expected: int |
         first = False
 
 
+def part_batches(part: Part, fmt: Format, options: ParseOptions, expected: int | None, wanted: Wanted, header: bool = False, stop: int | None = None) -> Iterator[tuple[pa.RecordBatch | None, QuillError | None]]:
+    """The wanted rows of a part, block by block, up to its first error or to records from ``stop`` on.
+
+    ``header``: the part's first record, if it is the file's, isn't a row.
+    """
+    begin, record, line, first = part.start, part.record, part.line, part.first
+    drop = header and first
+    plain = Plain(fmt, options, wanted, expected)
+    for data in _blocks(part, fmt, READ, BLOCK):
+        if stop is not None and begin >= stop:
+            return
+        skip = data.find(b"\n") + 1 if drop else 0
+        result = None
+        if plain.able and not (first and data[:3] == BOM) and not (drop and not skip) and (stop is None or begin + len(data) <= stop):
+            result = plain.read(data[skip:] if skip else data, begin + skip, line + drop, record + drop) if skip < len(data) else (None, 0)
+            if result is not None and skip and (fmt.quote in data[:skip] or skip > options.limits.field_bytes):
+                result = None
+        if result is not None:
+            rows, n = result
+            n += drop
+            if rows is not None:
+                yield rows, None
+        else:
+            fields, error = read_block(data, fmt, options, offset=begin, line=line, record=record, expected=plain.expected, first=first)
+            n = len(fields.records) - 1
+            if plain.expected is None and options.field_count == MATCH_FIRST and n:
+                plain.expected = int(fields.records[1] - fields.records[0])
+            fields = _without_header(fields, drop)
+            if stop is not None:
+                fields = _before(fields, stop)
+            if len(fields.records) > 1:
+                yield batch(fields, wanted)[0], None
+            if error is not None:
+                yield None, error
+                return
+        begin += len(data)
+        record += n
+        line += data.count(b"\n")
+        first = drop = False
+
+
 def _blocks(part: Part, fmt: Format, read: int, block: int) -> Iterator[bytes]:
     """The part's bytes, cut at record ends."""
     if fmt.unsplittable():
@@ -154,68 +198,97 @@ class Document:
     options: ParseOptions
     parts: list[Part]
     names: list[str] | None
-    width: int | None
+    widths: dict[str, int | None]  # of the first record, for files that are cut
 
     @classmethod
     def open(cls, spark: SparkSession, paths: str | list[str], fmt: Format = CSV, options: ParseOptions | None = None, small: int | None = None, chunk: int | None = None) -> Document:
         options = options or ParseOptions()
         parts = plan(spark, paths, fmt, small, chunk)
-        names, width = read_headers(parts[0].path, fmt, options) if parts else (None, None)
-        if options.headers is True and len({p.path for p in parts}) > 1:
-            for path in sorted({p.path for p in parts})[1:]:
-                other = read_headers(path, fmt, options)[0]
-                if other is not None and other != names:
+        if not parts:
+            return cls(spark, fmt, options, [], None, {})
+        names, width = read_headers(parts[0].path, fmt, options)
+        widths = {parts[0].path: width}
+        own = list(dict.fromkeys(p.path for p in parts))[1:]
+        if own and (options.headers is True or options.field_count == MATCH_FIRST):
+            cut = {p.path for p in parts if not p.first}
+            for path, differs, wide in _other_headers(spark, own, cut, names, fmt, options):
+                if differs:
                     raise QuillError(Kind.DECODE, f"headers of {path} differ")
-        return cls(spark, fmt, options, parts, names, width)
-
-    def _splits(self) -> DataFrame:
-        rows = [(i, p.path, p.start, p.end, p.record, p.line, p.first) for i, p in enumerate(self.parts)]
-        schema = "part bigint, path string, start bigint, end bigint, record bigint, line bigint, first boolean"
-        df = self.spark.createDataFrame(rows, schema)
-        return df.repartitionByRange(max(1, len(rows)), "part") if len(rows) > 1 else df.coalesce(1)
-
-    def _expected(self) -> int | None:
-        if self.options.field_count == MATCH_FIRST and self.options.expected() is None:
-            return self.width
-        return self.options.expected()
+                widths[path] = wide
+        return cls(spark, fmt, options, parts, names, widths)
+
+    def tasks(self) -> list[list[Part]]:
+        """Parts in order, small ones together."""
+        room = max(1, chunk_bytes(self.spark, sum(p.end - p.start for p in self.parts)))
+        out: list[list[Part]] = []
+        held = 0
+        for p in self.parts:
+            n = p.end - p.start
+            if not out or held + n > room:
+                out.append([])
+                held = 0
+            out[-1].append(p)
+            held += n
+        return out
+
+    def _over_parts(self, each, schema: str) -> DataFrame:
+        """``each(part)`` gives the batches of a part; tasks go in the order of the parts."""
+        tasks = self.tasks()
+        if len(tasks) <= CARRIED:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for ids in batches:
+                    for i in ids.column(0).to_pylist():
+                        for part in tasks[i]:
+                            yield from each(part)
+
+            return self.spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(run, schema)
+
+        def run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for r in rows.to_pylist():
+                    yield from each(Part(r["path"], r["start"], r["end"], r["record"], r["line"], r["first"]))
+
+        rows = [(i, k, p.path, p.start, p.end, p.record, p.line, p.first) for i, ps in enumerate(tasks) for k, p in enumerate(ps)]
+        table = self.spark.createDataFrame(rows, "task bigint, k bigint, path string, start bigint, end bigint, record bigint, line bigint, first boolean")
+        return table.repartitionByRange(len(tasks), "task").sortWithinPartitions("task", "k").mapInArrow(run_rows, schema)
+
+    def _expected_of(self):
+        """The width that a part's records must have, where its own first record doesn't say."""
+        own, widths = self.options.expected(), self.widths
+        if own is not None or self.options.field_count != MATCH_FIRST:
+            return lambda part: own
+        if self.options.headers is True:
+            width = widths.get(self.parts[0].path) if self.parts else None
+            return lambda part: width
+        return lambda part: widths.get(part.path)
 
     def scan(self, columns: list[int | str] | None = None, predicate: Predicate | None = None, *, text: bool = True, location: bool = False, on_error: str = "fail") -> DataFrame:
         """Rows of all parts: named columns where there are headers or columns, else ``fields``."""
-        fmt, options, expected = self.fmt, self.options, self._expected()
+        fmt, options, expected = self.fmt, self.options, self._expected_of()
         wanted = wanted_of(self.names, columns, predicate, text, location)
         header = options.headers is True
-        cut = {e["path"]: e["byte"] for e in (r.asDict() for r in self.errors().collect())} if on_error == "prefix" else {}
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for splits in batches:
-                for row in splits.to_pylist():
-                    part = Part(row["path"], row["start"], row["end"], row["record"], row["line"], row["first"])
-                    drop = header and part.first
-                    for fields, error in parsed_part(part, fmt, options, expected):
-                        if error is not None and on_error == "fail":
-                            raise error
-                        fields = _without_header(fields, drop)
-                        if part.path in cut:
-                            fields = _before(fields, cut[part.path])
-                        drop = False
-                        if len(fields.records) > 1:
-                            yield batch(fields, wanted)[0]
-
-        return self._splits().mapInArrow(run, ddl(wanted))
+        cut = {r.path: r.byte for r in self.errors().collect()} if on_error == "prefix" else {}
+
+        def each(part: Part) -> Iterator[pa.RecordBatch]:
+            for rows, error in part_batches(part, fmt, options, expected(part), wanted, header, cut.get(part.path)):
+                if error is not None and on_error == "fail":
+                    raise error
+                if rows is not None:
+                    yield rows
+
+        return self._over_parts(each, ddl(wanted))
 
     def errors(self) -> DataFrame:
         """The first error of each file: path, kind, byte, line, record, field.  At most one row a file."""
-        fmt, options, expected = self.fmt, self.options, self._expected()
+        fmt, options, expected = self.fmt, self.options, self._expected_of()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for splits in batches:
-                for row in splits.to_pylist():
-                    part = Part(row["path"], row["start"], row["end"], row["record"], row["line"], row["first"])
-                    for _, error in parsed_part(part, fmt, options, expected):
-                        if error is not None:
-                            yield pa.RecordBatch.from_arrays([pa.array([part.path]), _error_value(error)], ["path", "error"])
+        def each(part: Part) -> Iterator[pa.RecordBatch]:
+            for _, error in parsed_part(part, fmt, options, expected(part)):
+                if error is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([part.path]), _error_value(error)], ["path", "error"])
 
-        found = self._splits().mapInArrow(run, f"path string, error {ERROR_TYPE}")
+        found = self._over_parts(each, f"path string, error {ERROR_TYPE}")
         return found.groupBy("path").agg(F.min_by("error", F.col("error.byte")).alias("error")).select("path", "error.*")
 
     def locations(self) -> DataFrame:
@@ -223,6 +296,30 @@ class Document:
         return self.scan(columns=[], text=False, location=True).select("_loc.*")
 
 
+def _other_headers(spark: SparkSession, paths: list[str], cut: set[str], names: list[str] | None, fmt: Format, options: ParseOptions) -> list[tuple[str, bool, int | None]]:
+    """(path, whether its header differs, its first record's width) of the files that tell something.
+
+    The first records are read by tasks; what comes back is one row for each file that is cut, and the
+    first that differs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            out = []
+            for path, own in zip(rows.column("path").to_pylist(), rows.column("cut").to_pylist()):
+                header, width = read_headers(path, fmt, options)
+                differs = options.headers is True and header is not None and header != names
+                if own or differs:
+                    out.append((path, differs, width))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.int32())], ["path", "differs", "width"])
+
+    many = max(1, min(len(paths), 2 * spark.sparkContext.defaultParallelism, len(paths) // 64 + 1))
+    table = spark.createDataFrame([(p, p in cut) for p in paths], "path string, cut boolean").repartition(many)
+    found = table.mapInArrow(run, "path string, differs boolean, width int")
+    differing = found.where("differs").limit(1).collect() if options.headers is True else []
+    return [tuple(r) for r in differing] or ([tuple(r) for r in found.where("NOT differs").collect()] if cut & set(paths) else [])
+
+
 _ERROR = pa.struct([("kind", pa.string()), *((n, pa.int64()) for n in ("byte", "line", "record", "field"))])
 
 

@@ -2,42 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encode import encoded, header
 from ..plans.formats import CSV, Format
 
 
+def rollover(sizes: np.ndarray, room: int, held: int = 0, segment: int = 0) -> tuple[np.ndarray, int, int]:
+    """The segment of each record, given the open one and its bytes; and both after the last.
+
+    One step a segment: the next one begins with the first record that doesn't fit.
+    """
+    ends = np.cumsum(sizes, dtype=np.int64)
+    out = np.empty(len(sizes), np.int64)
+    at, before = 0, -held  # bytes before the open segment, as the sums see it
+    while at < len(sizes):
+        stop = int(np.searchsorted(ends, before + room, "right"))
+        if stop <= at and (ends[at - 1] if at else 0) == before:
+            stop = at + 1  # a record too large for any segment stands alone
+        out[at:stop] = segment
+        if stop >= len(sizes):
+            break
+        at, before, segment = max(at, stop), int(ends[stop - 1]) if stop else 0, segment + 1
+    total = int(ends[-1]) if len(sizes) else 0
+    return out, total - before, segment
+
+
 def segments(df: DataFrame, order: str, limit: int, fmt: Format = CSV, columns: list[str] | None = None, group: str | None = None, headers: bool = True) -> DataFrame:
-    """Number the segment of each record: (group, order, segment, line).
+    """Number the segment of each record: (group, order, line, segment).
 
     Records go in ``order`` and a segment is closed before the record that would take it past
     ``limit`` bytes, header included; a record larger than that stands alone.  Rolling over depends
-    on all records before, so a group (by default: a range of the order, one a partition) is handled
-    by one task, and groups in parallel.
+    on all records before, so a group (by default: a range of the order, one a partition) is read by
+    one task, in order, holding a batch of records and the open segment's size; groups go in parallel.
     """
     names = columns or [c for c in df.columns if c != group]
     room = limit - (len(header(names, fmt)) if headers else 0)
-    keep = tuple(c for c in (group, order) if c)
-    lines = encoded(df, fmt, names, keep=keep)
+    lines = encoded(df, fmt, names, keep=tuple(c for c in (group, order) if c))
     if group is None:
-        lines = lines.repartitionByRange(F.col(order)).withColumn("_group", F.spark_partition_id())
-    key = group or "_group"
-    size = F.octet_length("line").cast("long")
-    window = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # a running (segment, bytes) pair, folded over the sizes of the group's records so far, is
-    # carried by one aggregate over collected sizes in bounded groups
-    sized = lines.withColumn("_size", size)
-    folded = sized.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_size").alias("s")))).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("seg"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, x):
-        over = (acc["bytes"] > 0) & (acc["bytes"] + x["s"] > room)
-        seg = acc["seg"] + F.when(over, 1).otherwise(0).cast("long")
-        return F.struct(seg.alias("seg"), F.when(over, x["s"]).otherwise(acc["bytes"] + x["s"]).alias("bytes"), F.array_append(acc["out"], seg).alias("out"))
-
-    del window
-    numbered = folded.select(key, "all", F.aggregate("all", start, step)["out"].alias("seg"))
-    numbered = numbered.select(key, F.explode(F.arrays_zip("all", "seg")).alias("z")).select(key, F.col("z.all.o").alias(order), F.col("z.seg").alias("segment"))
-    return lines.join(numbered, [key, order])
+        key = "_group"
+        lines = lines.repartitionByRange(F.col(order)).withColumn(key, F.spark_partition_id()).select(key, order, "line")
+    else:
+        key = group
+        lines = lines.repartition(F.col(key))
+    lines = lines.sortWithinPartitions(key, order)
+    own = {f.name: f.dataType.simpleString() for f in lines.schema}
+    schema = ", ".join([*(f"`{c}` {own[c]}" for c in lines.columns), "segment bigint"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, held, segment = None, 0, 0
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            keys = rows.column(key)
+            sizes = np.diff(np.frombuffer(rows.column("line").cast(pa.large_binary()).buffers()[1], np.int64)[: rows.num_rows + 1])
+            codes = pa.array(keys).dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]])
+            out = np.empty(len(codes), np.int64)
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                value = (keys[a].as_py(),)
+                if value != open_:
+                    open_, held, segment = value, 0, 0
+                out[a:b], held, segment = rollover(sizes[a:b], room, held, segment)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out)], [*rows.schema.names, "segment"])
+
+    return lines.mapInArrow(run, schema)

@@ -90,19 +90,25 @@ def _column(f: Fields, at: int) -> pa.Array:
     return f.values.take(pa.array(np.where(short, 0, place), mask=short) if short.any() else pa.array(place))
 
 
-def _matching(f: Fields, p: Predicate, at: int | None) -> np.ndarray:
+def matches(p: Predicate, value: pa.Array) -> pa.Array:
+    """The predicate on a column of bytes."""
     import pyarrow.compute as pc
 
-    n = len(f.records) - 1
-    if at is None:
-        return np.zeros(n, bool)
-    value = pc.fill_null(_column(f, at), b"")
-    test = {
+    return {
         "equals": lambda: pc.equal(value, p.literal),
         "contains": lambda: pc.match_substring(value, p.literal),
         "starts_with": lambda: pc.starts_with(value, p.literal),
         "ends_with": lambda: pc.ends_with(value, p.literal),
     }[p.kind]()
+
+
+def _matching(f: Fields, p: Predicate, at: int | None) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    n = len(f.records) - 1
+    if at is None:
+        return np.zeros(n, bool)
+    test = matches(p, pc.fill_null(_column(f, at), b""))
     return test.to_numpy(zero_copy_only=False).astype(bool) & (np.diff(f.records) > at)
 
 

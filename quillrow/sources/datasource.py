@@ -1,8 +1,10 @@
 """``spark.read.format("quillrow")`` and ``df.write.format("quillrow")``.
 
 Options: ``path``, ``format`` (a preset's name), ``headers`` (true, false), ``columns`` (comma
-separated names), ``predicate`` (kind:column:literal), ``field_count``.  One partition a file; large
-files are better read through ``api.read``, which cuts them.
+separated names), ``predicate`` (kind:column:literal), ``field_count``, ``split_bytes`` (the size of the
+partitions that large files are cut in).  Cuts are exact; the reader counts quotes for them by itself, so
+where files hold more than 16 GB in all they are better read through ``api.read``, whose count is a job
+of the cluster; the source then has one partition a file.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..plans import predicate as predicates
 from ..plans.formats import BOM, PRESETS
-from ..plans.options import ParseOptions
+from ..plans.options import MATCH_FIRST, ParseOptions
 from . import files
+from .split import CHUNK, Part, plan_here
 
 
 def _options(options: dict) -> tuple:
@@ -42,9 +45,11 @@ class QuillrowSource(DataSource):
         return _Writer(self.options, schema, overwrite)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, size: int) -> None:
-        self.path, self.size = path, size
+class _Parts(InputPartition):
+    """Neighbouring parts, small files together."""
+
+    def __init__(self, parts: list[Part]) -> None:
+        self.parts = parts
 
 
 class _Reader(DataSourceReader):
@@ -52,8 +57,10 @@ class _Reader(DataSourceReader):
         from ..operators.scan import read_headers, wanted_of
 
         self.fmt, self.parse = _options(options)
+        self.chunk = int(options.get("split_bytes", CHUNK))
         self.found = list(files.listed(options["path"]))
-        names = read_headers(self.found[0][0], self.fmt, self.parse)[0] if self.found else None
+        names, self.width = read_headers(self.found[0][0], self.fmt, self.parse) if self.found else (None, None)
+        self.names = names
         columns = options["columns"].split(",") if options.get("columns") else None
         test = None
         if options.get("predicate"):
@@ -62,20 +69,34 @@ class _Reader(DataSourceReader):
         self.wanted = wanted_of(names, columns, test, True, False)
 
     def partitions(self):
-        return [_File(p, n) for p, n in self.found]
-
-    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
-        from ..operators.scan import _without_header, parsed_part
-        from .blocks import batch
-        from .split import Part
-
-        drop = self.parse.headers is True
-        for fields, error in parsed_part(Part(partition.path, 0, partition.size, 0, 1, True), self.fmt, self.parse, self.parse.expected()):
-            if error is not None:
-                raise error
-            fields, drop = _without_header(fields, drop), False
-            if len(fields.records) > 1:
-                yield batch(fields, self.wanted)[0]
+        out: list[_Parts] = []
+        held = 0
+        for p in plan_here(self.found, self.fmt, self.chunk):
+            if not out or held + p.end - p.start > self.chunk:
+                out.append(_Parts([]))
+                held = 0
+            out[-1].parts.append(p)
+            held += p.end - p.start
+        return out
+
+    def read(self, partition: _Parts) -> Iterator[pa.RecordBatch]:
+        from ..operators.scan import part_batches, read_headers
+        from ..plans.errors import Kind, QuillError
+
+        expected = self.parse.expected()
+        for part in partition.parts:
+            width = expected
+            if part.first and self.parse.headers is True:
+                own = read_headers(part.path, self.fmt, self.parse)[0]
+                if own is not None and own != self.names:
+                    raise QuillError(Kind.DECODE, f"headers of {part.path} differ")
+            if width is None and self.parse.field_count == MATCH_FIRST:
+                width = self.width if self.parse.headers is True else None if part.first else read_headers(part.path, self.fmt, self.parse)[1]
+            for rows, error in part_batches(part, self.fmt, self.parse, width, self.wanted, self.parse.headers is True):
+                if error is not None:
+                    raise error
+                if rows is not None:
+                    yield rows
 
 
 class _Message(WriterCommitMessage):

@@ -21,7 +21,10 @@ from . import files
 #: Parts are of this many bytes, or of fewer where the input is small beside the cluster, but of no
 #: fewer than LEAST; files of up to two parts' size are left whole.
 CHUNK, LEAST = 64 << 20, 1 << 20
-_PROBE = "path string, start bigint, quotes bigint, lf bigint, ends0 bigint, first0 bigint, ends1 bigint, first1 bigint"
+#: Bytes that a process probes by itself, where it has no cluster to do so.
+LOCAL = 16 << 30
+_NUMBERS = ("quotes", "lf", "ends0", "first0", "head0", "ends1", "first1", "head1")
+_PROBE = "path string, start bigint, " + ", ".join(f"{n} bigint" for n in _NUMBERS)
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,9 @@ class Part:
     first: bool
 
 
-def probe(data: bytes, fmt: Format) -> tuple[int, int, int, int, int, int]:
-    """Quotes, line feeds, and for the states outside and inside quotes: record ends and the first."""
+def probe(data: bytes, fmt: Format) -> tuple[int, ...]:
+    """Quotes, line feeds, and for the states outside and inside quotes: record ends, where the first
+    one is, and the line feeds up to it."""
     array = np.frombuffer(data, np.uint8)
     step = (array == fmt.quote[0]).astype(np.int8)
     inside = np.bitwise_xor.accumulate(step) if len(step) else step
@@ -45,15 +49,21 @@ def probe(data: bytes, fmt: Format) -> tuple[int, int, int, int, int, int]:
     out = []
     for state in (0, 1):
         at = np.flatnonzero(end & (inside == state))
-        out += [len(at), int(at[0]) + 1 if len(at) else -1]
-    return int(step.sum(dtype=np.int64)), int((array == 10).sum()), *out
+        first = int(at[0]) + 1 if len(at) else -1
+        out += [len(at), first, data.count(b"\n", 0, max(first, 0))]
+    return int(step.sum(dtype=np.int64)), data.count(b"\n"), *out
+
+
+def chunk_bytes(spark: SparkSession, total: int) -> int:
+    """The size of parts for so many bytes: two parts a core, within bounds."""
+    return min(CHUNK, max(LEAST, total // (2 * spark.sparkContext.defaultParallelism)))
 
 
 def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int | None = None, chunk: int | None = None) -> list[Part]:
     """Parts of all files.  Files of formats that can't be split are one part each."""
     found = list(files.listed(paths))
     if chunk is None:
-        chunk = min(CHUNK, max(LEAST, sum(n for _, n in found) // (2 * spark.sparkContext.defaultParallelism)))
+        chunk = chunk_bytes(spark, sum(n for _, n in found))
     small = 2 * chunk if small is None else small
     whole = [(p, n) for p, n in found if n <= small or fmt.unsplittable()]
     parts = [Part(p, 0, n, 0, 1, True) for p, n in whole]
@@ -65,7 +75,7 @@ def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int |
             for batch in batches:
                 for row in batch.to_pylist():
                     numbers = probe(files.read(row["path"], row["start"], row["size"]), fmt)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["start"]]), *(pa.array([x], pa.int64()) for x in numbers)], ["path", "start", "quotes", "lf", "ends0", "first0", "ends1", "first1"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([row["start"]]), *(pa.array([x], pa.int64()) for x in numbers)], ["path", "start", *_NUMBERS])
 
         table = spark.createDataFrame(chunks, "path string, start bigint, size bigint").repartition(len(chunks))
         rows = {(r.path, r.start): r for r in table.mapInArrow(run, _PROBE).collect()}
@@ -75,36 +85,39 @@ def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int |
     return sorted(parts, key=lambda p: (order[p.path], p.start))
 
 
+def plan_here(found: list[tuple[str, int]], fmt: Format, chunk: int = CHUNK, most: int = LOCAL) -> list[Part]:
+    """Parts of files without a session, probed by threads of this process.
+
+    For files of up to ``most`` bytes in all; of more, every file is one part.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from types import SimpleNamespace
+
+    parts: list[Part] = []
+    if fmt.unsplittable() or sum(n for _, n in found if n > 2 * chunk) > most:
+        return [Part(p, 0, n, 0, 1, True) for p, n in found]
+    with ThreadPoolExecutor(8) as pool:
+        for path, n in found:
+            if n <= 2 * chunk:
+                parts.append(Part(path, 0, n, 0, 1, True))
+                continue
+            starts = range(0, n, chunk)
+            numbers = pool.map(lambda at, path=path: probe(files.read(path, at, chunk), fmt), starts)
+            parts += fold([SimpleNamespace(path=path, start=at, **dict(zip(_NUMBERS, x))) for at, x in zip(starts, numbers)], path, n)
+    return parts
+
+
 def fold(rows: list, path: str, n: int) -> list[Part]:
     """From the chunks' numbers to parts: a part begins after the first record end of its chunk."""
     parts, state, record, line, begin = [], 0, 0, 1, (0, 0, 1)
     for k, r in enumerate(rows):
-        first = (r.first0, r.first1)[state]
+        first, head = ((r.first0, r.head0), (r.first1, r.head1))[state]
         if k and first >= 0:
             start = r.start + first
-            # the record and line numbers at the part's start follow when its head is counted
             parts.append(Part(path, begin[0], start, begin[1], begin[2], not parts))
-            begin = (start, record + 1, -1)
+            begin = (start, record + 1, line + head)
         record += (r.ends0, r.ends1)[state]
         line += r.lf
         state ^= r.quotes & 1
     parts.append(Part(path, begin[0], n, begin[1], begin[2], not parts))
-    return _lines(parts, rows)
-
-
-def _lines(parts: list[Part], rows: list) -> list[Part]:
-    """Lines at the parts' starts: those of the chunks before, and of the chunk's head, read again."""
-    from dataclasses import replace
-
-    before, total = {}, 1
-    for r in rows:
-        before[r.start] = total
-        total += r.lf
-    starts = sorted(before)
-    out = []
-    for p in parts:
-        if p.line < 0:
-            base = max(s for s in starts if s < p.start)
-            p = replace(p, line=before[base] + files.read(p.path, base, p.start - base).count(b"\n"))
-        out.append(p)
-    return [p for p in out if p.end > p.start or p.first]
+    return [p for p in parts if p.end > p.start or p.first]
