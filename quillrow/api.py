@@ -30,6 +30,19 @@ def read_typed(spark: SparkSession, paths: str | list[str], schema: RowSchema |
     return schema.decode(fields, names=names, empty=empty, on_error=on_error)
 
 
+def decode_documents(df: DataFrame, column: str, schema: RowSchema | type, fmt: Format = CSV, options: ParseOptions | None = None, *, keep: tuple[str, ...] = (), empty: str = "null", on_error: str = "fail") -> DataFrame:
+    """Rows of documents that a column holds whole, decoded by a row schema; without headers, by position."""
+    from pyspark.sql import functions as F
+
+    from .operators.scan import parse_documents
+
+    schema = getattr(schema, "quill_schema", schema)
+    options = options or ParseOptions(headers=False)
+    names = list(options.headers) if isinstance(options.headers, tuple) else None
+    rows = parse_documents(df, column, fmt, options, keep=keep, on_error="fail").select(*keep, "fields")
+    return schema.decode(rows.where(F.col("fields").isNotNull()), names=names, empty=empty, on_error=on_error, keep=keep)
+
+
 def headers(spark: SparkSession, path: str, fmt: Format = CSV, options: ParseOptions | None = None) -> list[str] | None:
     from .operators.scan import read_headers
 

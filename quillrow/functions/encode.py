@@ -189,6 +189,25 @@ def encoded(df: DataFrame, fmt: Format, columns: list[str] | None = None, *, nam
     return df.select(*[F.col(f"`{k}`") for k in keep], line.alias(name))
 
 
+def encoded_arrays(df: DataFrame, column: str, fmt: Format, field_count: str | int = "flexible", *, name: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each ``array<string>`` as one record of as many fields.
+
+    ``field_count``: flexible, or the number that every record must have.  A record of no fields is its ending.
+    """
+    values = F.col(f"`{column}`")
+    binary = bool(fmt.escape.anywhere)
+    if binary:
+        values = F.transform(values, lambda x: F.decode(F.encode(x, "UTF-8"), "ISO-8859-1"))
+    delimiter, n = _char(fmt.delimiter), F.size(values)
+    first = field(F.get(values, F.lit(0)), fmt, first=True, binary=binary)
+    rest = F.transform(F.slice(values, 2, F.greatest(n - 1, F.lit(0))), lambda x: field(x, fmt, binary=binary))
+    line = F.when(n == 0, F.lit("")).when(n == 1, record([F.get(values, F.lit(0))], fmt, False, binary)).otherwise(F.concat_ws(delimiter, first, rest))
+    line = F.concat(line, F.lit(_char(fmt.ending)))
+    if field_count != "flexible":
+        line = F.when(n == field_count, line).otherwise(F.raise_error(F.concat(F.lit("FieldCountMismatch: "), n.cast("string"), F.lit(f" fields, {field_count} expected"))).cast("string"))
+    return df.select(*[F.col(f"`{k}`") for k in keep], F.encode(line, "ISO-8859-1" if binary else "UTF-8").alias(name))
+
+
 def flattened(df: DataFrame) -> DataFrame:
     """Nested structs as columns, depth first, for records without headers.  Maps and arrays, which
     have no fixed width, are refused."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .decode import utf8
+from .decode import decoded, utf8
 
 
 def get(fields: Column, at: int) -> Column:
@@ -70,3 +70,37 @@ def as_map(fields: Column, names: list[str]) -> Column:
 
 def as_struct(fields: Column, names: list[str]) -> Column:
     return F.struct(*[get(fields, i).alias(n) for i, n in enumerate(names)])
+
+
+def hashed(fields: Column) -> Column:
+    """A hash that equal records share; a NULL and an empty field differ."""
+    return F.xxhash64(F.transform(fields, lambda x: F.struct(x.isNull().alias("none"), x.alias("value"))))
+
+
+def joined(fields: Column) -> Column:
+    """All fields end to end; NULLs add nothing."""
+    return F.array_join(fields, "")
+
+
+def ranges(fields: Column) -> Column:
+    """Where each field stands in ``joined``: an array of (start, end) in characters of text, bytes of bytes."""
+    sizes = F.transform(fields, lambda x: F.coalesce(F.length(x), F.lit(0)))
+    ends = F.transform(F.sequence(F.lit(1), F.size(fields)), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x))
+    spans = F.transform(ends, lambda e, i: F.struct((e - F.get(sizes, i)).alias("start"), e.alias("end")))
+    return F.when(F.size(fields) > 0, spans).otherwise(F.slice(spans, 1, 0))
+
+
+def as_tuple(fields: Column, kinds: list[str], on_error: str = "fail") -> Column:
+    """Typed fields by position: a struct (_1, _2, ...)."""
+    return F.struct(*[decoded(get(fields, i), k, on_error=on_error).alias(f"_{i + 1}") for i, k in enumerate(kinds)])
+
+
+def as_sequence(fields: Column, kind: str, start: int = 0, on_error: str = "fail") -> Column:
+    """All fields from a position on as values of one type."""
+    return F.transform(F.slice(fields, start + 1, F.greatest(F.size(fields) - start, F.lit(0))), lambda x: decoded(x, kind, on_error=on_error))
+
+
+def as_variant(field: Column, variants: tuple[str, ...], on_error: str = "fail") -> Column:
+    """A field that must be one of the names."""
+    other = F.lit(None).cast("string") if on_error == "null" else F.raise_error(F.concat(F.lit("InvalidValue: no such variant: "), field)).cast("string")
+    return F.when(field.isin(*variants), field).otherwise(other)

@@ -1,7 +1,7 @@
 """A persistent index of record places, for random access to delimited files.
 
 The index is a Parquet table with one row a record (record, byte, line; the header is record 0), and
-a small description beside it: the source's length and SHA-256, the format and the limits.
+a small description beside it: the source's length and digest, the format and the limits.
 """
 
 from __future__ import annotations
@@ -22,15 +22,27 @@ from ..sources import files
 from ..sources.blocks import batch, read_block
 from .scan import Document, ddl, read_headers, wanted_of
 
-_STEP = 64 << 20
+#: Bytes of a source that one digest is of; the source's is the digest of those.
+_LEAF = 64 << 20
 
 
-def identity(path: str) -> dict:
-    """Length and digest of a source, read in steps."""
-    n, h = files.size(path), hashlib.sha256()
-    for at in range(0, n, _STEP):
-        h.update(files.read(path, at, _STEP))
-    return {"bytes": n, "sha256": h.hexdigest()}
+def identity(spark: SparkSession, path: str) -> dict:
+    """Length and digest of a source: SHA-256 of the digests of its leaves, which tasks read."""
+    n = files.size(path)
+    starts = range(0, n, _LEAF)
+    if len(starts) <= 1:
+        leaves = [hashlib.sha256(files.read(path, 0, n)).digest()]
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(0).to_pylist()
+                digests = [hashlib.sha256(files.read(path, i * _LEAF, _LEAF)).digest() for i in at]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], ["id", "digest"])
+
+        rows = spark.range(0, len(starts), 1, len(starts)).mapInArrow(run, "id bigint, digest binary").orderBy("id").collect()
+        leaves = [bytes(r.digest) for r in rows]
+    return {"bytes": n, "sha256": hashlib.sha256(b"".join(leaves)).hexdigest()}
 
 
 class RecordIndex:
@@ -50,7 +62,7 @@ class RecordIndex:
         document = Document.open(spark, source, fmt, ParseOptions(headers=False, field_count=options.field_count, limits=options.limits))
         places = document.locations().select("record", "byte", "line")
         places.repartitionByRange(max(1, len(document.parts)), "record").sortWithinPartitions("record").write.mode("overwrite").parquet(f"{folder}/records")
-        about = identity(source) | {"format": repr(fmt), "source": source, "records": spark.read.parquet(f"{folder}/records").count()}
+        about = identity(spark, source) | {"format": repr(fmt), "source": source, "records": spark.read.parquet(f"{folder}/records").count()}
         files.write(f"{folder}/about.json", json.dumps(about).encode())
         return cls(spark, folder)
 
@@ -58,7 +70,7 @@ class RecordIndex:
     def generate(cls, df: DataFrame, order: str, source: str, folder: str, fmt: Format = CSV) -> RecordIndex:
         """Write the rows in order as one file with a header, and its index, from one pass of encoding."""
         from ..functions.encode import header
-        from ..sources.writer import with_offsets
+        from ..sources.writer import place, with_offsets
 
         spark = df.sparkSession
         placed = with_offsets(df, order, fmt)
@@ -66,11 +78,7 @@ class RecordIndex:
         lines = placed.withColumn("feeds", F.length(F.decode("line", "ISO-8859-1")) - F.length(F.replace(F.decode("line", "ISO-8859-1"), F.lit("\n"), F.lit(""))))
         lines.select("byte", "line", "feeds").repartitionByRange("byte").sortWithinPartitions("byte").write.mode("overwrite").parquet(f"{folder}/encoded")
         written = spark.read.parquet(f"{folder}/encoded")
-        system, own = files.opened(source)
-        with system.open_output_stream(own) as out:
-            out.write(head)
-            for row in written.orderBy("byte").toLocalIterator(prefetchPartitions=True):
-                out.write(bytes(row.line))
+        place(written.orderBy("byte").select("line"), source, head)
         # numbers and lines by range of the byte: sums of the ranges first, then within each
         ranged = written.select("byte", "feeds").repartitionByRange("byte").withColumn("part", F.spark_partition_id())
         sums = ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("feeds").alias("f"))
@@ -84,7 +92,7 @@ class RecordIndex:
         )
         first = spark.createDataFrame([(0, 3 if fmt.write_bom else 0, 1)], "record bigint, byte bigint, line bigint")
         first.union(rows).repartitionByRange("record").sortWithinPartitions("record").write.mode("overwrite").parquet(f"{folder}/records")
-        about = identity(source) | {"format": repr(fmt), "source": source, "records": spark.read.parquet(f"{folder}/records").count()}
+        about = identity(spark, source) | {"format": repr(fmt), "source": source, "records": spark.read.parquet(f"{folder}/records").count()}
         files.write(f"{folder}/about.json", json.dumps(about).encode())
         return cls(spark, folder)
 
@@ -106,7 +114,7 @@ class RecordIndex:
     def validate(self, source: str | None = None) -> RecordIndex:
         """The source must be the bytes the index was made of."""
         source = source or self.about["source"]
-        now = identity(source)
+        now = identity(self.spark, source)
         if {k: self.about[k] for k in now} != now:
             raise QuillError(Kind.SOURCE_MISMATCH, source)
         self._bound = True

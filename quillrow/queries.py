@@ -326,35 +326,25 @@ def incremental_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stream", F.md5(F.get("fields", F.lit(1))).alias("digest"))
 
 
-@_register("index_seek_range", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_custkey AS record FROM customer WHERE c_custkey >= 40 AND c_custkey < 90")
-def index_seek_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records 40 to 90 of a document by their offsets in it."""
-    from .sources.writer import with_offsets
-
-    placed = with_offsets(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
-    names = ("c_custkey", "c_name")
-    index = placed.select("line", F.col("c_custkey").alias("record"), "byte").where("record >= 40 AND record < 90")
-    return parse_column(index, "line", fm.CSV, ParseOptions(headers=names), keep=("record",))
-
-
 @_register("file_roundtrip", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'F'")
 def file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as files to the shared folder and read back with a predicate."""
-    import tempfile
-    import uuid
-
     from . import api
+    from .queries_files import scratch
     from .sources import writer
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillrow-")
-    folder = f"{base.rstrip('/')}/quillrow-files/{uuid.uuid4().hex}"
+    folder = scratch(spark, "orders")
     writer.write(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), folder, fm.EXCEL)
     return api.read(spark, folder, fm.EXCEL, predicate=P.equals("o_orderstatus", "F"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries_files  # noqa: F401 - registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries_files  # noqa: F401
+
     return dict(_oracles)

@@ -47,3 +47,19 @@ def listed(paths: str | list[str]) -> Iterator[tuple[str, int]]:
         for f in sorted(system.get_file_info(fs.FileSelector(own, recursive=True)), key=lambda f: f.path):
             if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")):
                 yield prefix + f.path, f.size
+
+
+def shared_folder(spark) -> str:
+    """A folder that all executors share: the one in ``spark.checkpoint.dir`` (or that the context has).
+
+    Only a session whose tasks all run in this process may go without: it gets a local one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="quillrow-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")

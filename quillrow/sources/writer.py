@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,14 +75,80 @@ def write(df: DataFrame, folder: str, fmt: Format = CSV, options: EmitOptions |
     return sorted(final)
 
 
+#: Bytes copied at once where parts become one file.
+_COPY = 8 << 20
+
+
+def place(lines: DataFrame, path: str, head: bytes = b"", after: int | None = None) -> int:
+    """One file of a column of records, in the DataFrame's order; returns its length.
+
+    Tasks write a part each beside the file.  On a shared file system with random access, tasks then copy
+    the parts to their places in it; elsewhere (object stores) the parts' bytes are streamed into it.
+    ``after``: the length of the file that the records are appended to.
+    """
+    from pyarrow import fs
+
+    spark = lines.sparkSession
+    system, own = files.opened(path)
+    folder = f"{own}.{uuid.uuid4().hex[:12]}.parts"
+    system.create_dir(folder, recursive=True)
+    stem = path[: len(path) - len(own)] + folder
+
+    def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        name = f"{stem}/{context.partitionId():08d}-{context.taskAttemptId()}"
+        there, own = files.opened(name)
+        n = 0
+        with there.open_output_stream(own) as out:
+            for rows in batches:
+                column = rows.column(0).cast(pa.large_binary())
+                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+                if len(column):
+                    out.write(memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]])
+                    n += int(offsets[-1] - offsets[0])
+        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "name": [name], "bytes": [n]})
+
+    try:
+        parts = sorted((r.part, r.name, r.bytes) for r in lines.mapInArrow(write_part, "part bigint, name string, bytes bigint").collect())
+        at = (after or 0) + len(head)
+        spans = []
+        for _, name, n in parts:
+            spans.append((name, at, n))
+            at += n
+        if isinstance(system, fs.LocalFileSystem):
+            with open(own, "r+b" if after else "wb") as out:
+                out.seek(after or 0)
+                out.write(head)
+                out.truncate(at)
+
+            def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for rows in batches:
+                    for r in rows.to_pylist():
+                        with open(own, "r+b") as out:
+                            out.seek(r["at"])
+                            for k in range(0, r["bytes"], _COPY):
+                                out.write(files.read(r["name"], k, min(_COPY, r["bytes"] - k)))
+                yield pa.RecordBatch.from_pydict({"done": [1]})
+
+            if spans:
+                spark.createDataFrame(spans, "name string, at bigint, bytes bigint").repartition(len(spans)).mapInArrow(copy, "done bigint").collect()
+        else:
+            with system.open_append_stream(own) if after else system.open_output_stream(own) as out:
+                out.write(head)
+                for name, _, n in spans:
+                    for k in range(0, n, _COPY):
+                        out.write(files.read(name, k, min(_COPY, n - k)))
+        return at
+    finally:
+        system.delete_dir(folder)
+
+
 def write_one(df: DataFrame, path: str, fmt: Format = CSV, options: EmitOptions | None = None) -> None:
-    """One file, written by the driver from one partition at a time, in the DataFrame's order."""
+    """One file, in the DataFrame's order."""
     options = options or EmitOptions()
-    system, own = files.opened(path)
-    with system.open_output_stream(own) as out:
-        out.write((BOM if fmt.write_bom else b"") + (header(df.columns, fmt) if options.headers else b""))
-        for row in encoded(df, fmt).toLocalIterator(prefetchPartitions=True):
-            out.write(bytes(row.line))
+    place(encoded(df, fmt), path, (BOM if fmt.write_bom else b"") + (header(df.columns, fmt) if options.headers else b""))
 
 
 def append(df: DataFrame, path: str, fmt: Format = CSV, options: EmitOptions | None = None) -> None:
@@ -90,18 +157,16 @@ def append(df: DataFrame, path: str, fmt: Format = CSV, options: EmitOptions | N
     options = options or EmitOptions()
     n = files.size(path) if _exists(path) else 0
     mark = files.read(path, 0, 3) == BOM if n >= 3 else False
+    head = b""
     if n == 0 or (n == 3 and mark):
-        files.write(path, (BOM if fmt.write_bom and not mark else b"") + (header(df.columns, fmt) if options.headers else b""), append=n > 0)
+        head = (BOM if fmt.write_bom and not mark else b"") + (header(df.columns, fmt) if options.headers else b"")
     else:
         if files.read(path, n - len(fmt.ending), len(fmt.ending)) != fmt.ending:
             raise QuillError(Kind.UNTERMINATED_RECORD, path)
         first = Parser(files.read(path, 0, 1 << 20), fmt, ParseOptions(headers=False)).next()
         if options.field_count != "flexible" and first is not None and len(first.fields) != len(df.columns):
             raise QuillError(Kind.FIELD_COUNT_MISMATCH, f"{len(first.fields)} fields in {path}, {len(df.columns)} given")
-    system, own = files.opened(path)
-    with system.open_append_stream(own) as out:
-        for row in encoded(df, fmt).toLocalIterator(prefetchPartitions=True):
-            out.write(bytes(row.line))
+    place(encoded(df, fmt), path, head, n or None)
 
 
 def _exists(path: str) -> bool:

@@ -9,19 +9,24 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import replace
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.errors import ERROR_TYPE, LOCATION_TYPE, QuillError
 from ..plans.formats import CSV, Format
+from ..operators.scan import _ERROR, _error_value
 from ..plans.options import ParseOptions
+from ..sources.blocks import Wanted, batch, read_block
 from .push import PushParser
 
 OUTPUT = f"stream string, fields array<binary>, _loc {LOCATION_TYPE}, _error {ERROR_TYPE}"
 _STATE = "state binary"
+_WHOLE = Wanted(None, (), None, None, False, True)
 
 
 def _advance(parser: PushParser, stream: str, chunk: bytes, last: bool) -> Iterator[dict]:
@@ -83,15 +88,45 @@ def records(chunks: DataFrame, fmt: Format = CSV, options: ParseOptions | None =
 
 
 def records_of(chunks: DataFrame, fmt: Format = CSV, options: ParseOptions | None = None) -> DataFrame:
-    """The same over a finished table of chunks."""
-    options = options or ParseOptions(headers=False)
+    """The same over a finished table of chunks.
 
-    def run(key: tuple[Any, ...], frame: pd.DataFrame) -> pd.DataFrame:
-        parser = PushParser(fmt, options)
-        rows: list[dict] = []
-        for _, r in frame.sort_values("seq").iterrows():
-            rows += _advance(parser, key[0], bytes(r["chunk"] or b""), bool(r["last"]))
-        return pd.DataFrame(rows, columns=["stream", "fields", "_loc", "_error"])
+    A stream's chunks come together in order of ``seq``, repeats once, and are parsed as one block.
+    """
+    options = options or ParseOptions(headers=False)
+    names = ["stream", "fields", "_loc", "_error"]
+
+    def parsed(stream: str | None, body: bytes, ended: bool) -> Iterator[pa.RecordBatch]:
+        fields, error = read_block(body, fmt, options, first=True)
+        if not ended:  # what isn't complete isn't a record yet
+            parser = PushParser(fmt, options)
+            rows = list(_advance(parser, stream or "", body, False))
+            good = sum(r["_error"] is None for r in rows)
+            error = parser.error
+            fields = replace(fields, values=fields.values.slice(0, int(fields.records[good])), records=fields.records[: good + 1], start=fields.start[:good], line=fields.line[:good])
+        out, kept = batch(fields, _WHOLE)
+        n = len(kept)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([stream] * n, pa.string()), *out.columns, pa.nulls(n, _ERROR)], names)
+        if error is not None and error.location is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([stream], pa.string()), *(pa.nulls(1, c.type) for c in out.columns), _error_value(error)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: str | None = None
+        held: list[bytes] = []
+        due, ended, any_ = None, False, False
+        for rows in batches:
+            for stream, seq, chunk, last in zip(*(rows.column(c).to_pylist() for c in ("stream", "seq", "chunk", "last"))):
+                if any_ and stream != key:
+                    yield from parsed(key, b"".join(held), ended)
+                    any_ = False
+                if not any_:
+                    key, held, due, ended, any_ = stream, [], None, False, True
+                if seq != due and not ended:
+                    held.append(chunk or b"")
+                    ended = bool(last)
+                due = seq
+        if any_:
+            yield from parsed(key, b"".join(held), ended)
 
     rows = chunks.selectExpr("cast(stream as string) stream", "cast(seq as bigint) seq", "cast(chunk as binary) chunk", "cast(last as boolean) last")
-    return rows.groupBy("stream").applyInPandas(run, OUTPUT)
+    return rows.repartition("stream").sortWithinPartitions("stream", "seq").mapInArrow(run, OUTPUT)

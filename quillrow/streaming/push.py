@@ -43,6 +43,11 @@ class PushParser:
         self.done = True
         return records
 
+    @property
+    def is_done(self) -> bool:
+        """Whether the document's end has been read, or an error after which nothing is."""
+        return self.done or self.error is not None
+
     def _read(self, data: bytes, final: bool) -> list[Record]:
         if self.error is not None:
             raise QuillError(Kind.PARSER_FAILED, "", Location(self.offset, self.line, self.record, 0))
