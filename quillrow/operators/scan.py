@@ -26,12 +26,14 @@ from ..sources import files
 from ..sources.blocks import Wanted, batch, read_block
 from ..sources.parser import Parser
 from ..sources.plain import Plain
-from ..sources.split import Part, chunk_bytes, plan
+from ..sources.split import HERE, Part, chunk_bytes, plan
 
 #: Bytes read at once within a part, and bytes parsed at once, which a core's cache should hold.
 READ, BLOCK = 8 << 20, 1 << 20
 #: Up to so many tasks carry their parts with them; the parts of more are a table.
 CARRIED = 4096
+#: Headers of up to so many files are read by the driver itself.
+FEW = 64
 
 
 def ddl(wanted: Wanted) -> str:
@@ -201,9 +203,9 @@ class Document:
     widths: dict[str, int | None]  # of the first record, for files that are cut
 
     @classmethod
-    def open(cls, spark: SparkSession, paths: str | list[str], fmt: Format = CSV, options: ParseOptions | None = None, small: int | None = None, chunk: int | None = None) -> Document:
+    def open(cls, spark: SparkSession, paths: str | list[str], fmt: Format = CSV, options: ParseOptions | None = None, small: int | None = None, chunk: int | None = None, here: int = HERE) -> Document:
         options = options or ParseOptions()
-        parts = plan(spark, paths, fmt, small, chunk)
+        parts = plan(spark, paths, fmt, small, chunk, here)
         if not parts:
             return cls(spark, fmt, options, [], None, {})
         names, width = read_headers(parts[0].path, fmt, options)
@@ -299,9 +301,15 @@ class Document:
 def _other_headers(spark: SparkSession, paths: list[str], cut: set[str], names: list[str] | None, fmt: Format, options: ParseOptions) -> list[tuple[str, bool, int | None]]:
     """(path, whether its header differs, its first record's width) of the files that tell something.
 
-    The first records are read by tasks; what comes back is one row for each file that is cut, and the
-    first that differs.
+    The first records of many files are read by tasks; what comes back is one row for each file that is
+    cut, and the first that differs.
     """
+    if len(paths) <= FEW:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(16) as pool:
+            own = [(p, options.headers is True and h is not None and h != names, w) for p, (h, w) in zip(paths, pool.map(lambda p: read_headers(p, fmt, options), paths))]
+        return [o for o in own if o[1]][:1] or [o for o in own if o[0] in cut]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:

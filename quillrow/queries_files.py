@@ -72,7 +72,7 @@ def _document_file(spark: SparkSession, sf_dir: str, fmt: fm.Format = fm.CSV) ->
 
 def _in_parts(spark: SparkSession, path: str, fmt: fm.Format = fm.CSV, options: ParseOptions | None = None) -> Document:
     """The file cut in about ``PARTS`` parts, however small it is."""
-    return Document.open(spark, path, fmt, options, small=0, chunk=max(1, files.size(path) // PARTS))
+    return Document.open(spark, path, fmt, options, small=0, chunk=max(1, files.size(path) // PARTS), here=0)
 
 
 _LINE = f"CAST(doc_id AS VARCHAR) || ',' || {_sql_necessary('text')}"
@@ -94,7 +94,7 @@ def file_split_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts themselves: they cover the file, begin at records, and know how many stand before them."""
     path = _document_file(spark, sf_dir)
-    parts = split.plan(spark, path, fm.CSV, small=0, chunk=max(1, files.size(path) // PARTS))
+    parts = split.plan(spark, path, fm.CSV, small=0, chunk=max(1, files.size(path) // PARTS), here=0)
     whole = parts[0].start == 0 and all(a.end == b.start for a, b in zip(parts, parts[1:])) and parts[-1].end == files.size(path)
     table = spark.createDataFrame([(p.start, p.record) for p in parts], "byte long, record long")
     places = _in_parts(spark, path, options=ParseOptions(headers=False)).locations()
@@ -109,7 +109,7 @@ def file_split_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer.write_one(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), path)
     n, out = files.size(path), []
     for k in (1, 3, 20):
-        rows = Document.open(spark, path, small=0, chunk=-(-n // k)).scan()
+        rows = Document.open(spark, path, small=0, chunk=-(-n // k), here=0).scan()
         out.append(rows.agg(F.count("*").alias("n"), F.sum(D.integer(F.col("o_orderkey"))).alias("keys")).select(F.lit(k).alias("parts"), "n", "keys"))
     return out[0].union(out[1]).union(out[2])
 
@@ -165,7 +165,7 @@ def match_first_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.opened(folder)[0].create_dir(files.opened(folder)[1], recursive=True)
     writer.write_one(_t(spark, sf_dir, "nation").select("n_nationkey", "n_name"), f"{folder}/a.csv", options=plain)
     writer.write_one(_t(spark, sf_dir, "region").select("r_regionkey", "r_name", F.lit("x").alias("x")), f"{folder}/b.csv", options=plain)
-    rows = Document.open(spark, folder, fm.CSV, ParseOptions(headers=False, field_count="match_first"), small=0, chunk=40).scan()
+    rows = Document.open(spark, folder, fm.CSV, ParseOptions(headers=False, field_count="match_first"), small=0, chunk=40, here=0).scan()
     return rows.groupBy(F.size("fields").alias("size")).agg(F.count("*").alias("n"))
 
 

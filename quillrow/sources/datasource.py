@@ -71,7 +71,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out: list[_Parts] = []
         held = 0
-        for p in plan_here(self.found, self.fmt, self.chunk):
+        for p in plan_here(self.found, self.fmt, self.chunk, 2 * self.chunk):
             if not out or held + p.end - p.start > self.chunk:
                 out.append(_Parts([]))
                 held = 0

@@ -23,6 +23,8 @@ from . import files
 CHUNK, LEAST = 64 << 20, 1 << 20
 #: Bytes that a process probes by itself, where it has no cluster to do so.
 LOCAL = 16 << 30
+#: Bytes whose probe by threads of the driver takes less time than a job.
+HERE = 128 << 20
 _NUMBERS = ("quotes", "lf", "ends0", "first0", "head0", "ends1", "first1", "head1")
 _PROBE = "path string, start bigint, " + ", ".join(f"{n} bigint" for n in _NUMBERS)
 
@@ -59,7 +61,7 @@ def chunk_bytes(spark: SparkSession, total: int) -> int:
     return min(CHUNK, max(LEAST, total // (2 * spark.sparkContext.defaultParallelism)))
 
 
-def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int | None = None, chunk: int | None = None) -> list[Part]:
+def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int | None = None, chunk: int | None = None, here: int = HERE) -> list[Part]:
     """Parts of all files.  Files of formats that can't be split are one part each."""
     found = list(files.listed(paths))
     if chunk is None:
@@ -68,7 +70,9 @@ def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int |
     whole = [(p, n) for p, n in found if n <= small or fmt.unsplittable()]
     parts = [Part(p, 0, n, 0, 1, True) for p, n in whole]
     large = [(p, n) for p, n in found if n > small and not fmt.unsplittable()]
-    if large:
+    if large and sum(n for _, n in large) <= here:
+        parts += plan_here(large, fmt, chunk, small)
+    elif large:
         chunks = [(p, at, min(chunk, n - at)) for p, n in large for at in range(0, n, chunk)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +89,7 @@ def plan(spark: SparkSession, paths: str | list[str], fmt: Format, small: int |
     return sorted(parts, key=lambda p: (order[p.path], p.start))
 
 
-def plan_here(found: list[tuple[str, int]], fmt: Format, chunk: int = CHUNK, most: int = LOCAL) -> list[Part]:
+def plan_here(found: list[tuple[str, int]], fmt: Format, chunk: int = CHUNK, small: int = 2 * CHUNK, most: int = LOCAL) -> list[Part]:
     """Parts of files without a session, probed by threads of this process.
 
     For files of up to ``most`` bytes in all; of more, every file is one part.
@@ -94,11 +98,11 @@ def plan_here(found: list[tuple[str, int]], fmt: Format, chunk: int = CHUNK, mos
     from types import SimpleNamespace
 
     parts: list[Part] = []
-    if fmt.unsplittable() or sum(n for _, n in found if n > 2 * chunk) > most:
+    if fmt.unsplittable() or sum(n for _, n in found if n > small) > most:
         return [Part(p, 0, n, 0, 1, True) for p, n in found]
     with ThreadPoolExecutor(8) as pool:
         for path, n in found:
-            if n <= 2 * chunk:
+            if n <= small:
                 parts.append(Part(path, 0, n, 0, 1, True))
                 continue
             starts = range(0, n, chunk)

@@ -132,7 +132,8 @@ BODY = b'id,name,note\n1,"a,1","x\ny"\n2,b,"q""q"\n3,"\r\n",\n4,d,"long\nlong\nl
 def test_cut_anywhere(spark, tmp_path, chunk):
     path = tmp_path / "d.csv"
     path.write_bytes(BODY)
-    parts = split.plan(spark, str(path), fm.CSV, small=0, chunk=chunk)
+    parts = split.plan(spark, str(path), fm.CSV, small=0, chunk=chunk, here=0)
+    assert parts == split.plan(spark, str(path), fm.CSV, small=0, chunk=chunk) == split.plan_here([(str(path), len(BODY))], fm.CSV, chunk, 0)
     assert [p.start for p in parts] == [0, *[p.end for p in parts[:-1]]] and parts[-1].end == len(BODY)
     whole = [(r.fields, r.start, r.line, r.index) for r in Parser(BODY, fm.CSV, ParseOptions(headers=False))]
     rows = Document.open(spark, str(path), fm.CSV, ParseOptions(headers=False), small=0, chunk=chunk).scan(text=False, location=True)
@@ -153,6 +154,44 @@ def test_blocks_of_a_part_join_to_the_whole(tmp_path, read, block):
         assert rows == [r.fields for r in Parser(body, fm.CSV, ParseOptions(headers=False), first=False)]
 
 
+def test_plain_blocks_are_what_the_parser_reads():
+    """Blocks that Arrow splits: the same rows, places and refusals as the rules give."""
+    from quillrow.operators.scan import part_batches, wanted_of
+
+    r = random.Random(4)
+    words = ["a", "", "bb", "x y", "é", "7", "-1.5", "long" * 9, '"', "\r", "\xff"]
+    for k in range(300):
+        fmt = r.choice([fm.CSV, fm.RFC4180, fm.TSV, fm.POSTGRES_COPY_CSV, fm.BACKSLASH_CSV, fm.MYSQL])
+        ending, width = r.choice([fmt.ending, fmt.ending, b"\n", b"\r\n"]), r.randint(1, 4)
+        own = words[: r.choice([8, 8, 8, 11])]
+        text = lambda w: w.encode("latin-1") if w == "\xff" else w.encode()
+        rows = [fmt.delimiter.join(text(r.choice(own)) for _ in range(width + (r.random() < 0.02))) for _ in range(r.randint(1, 30))]
+        body = ending.join(rows) + r.choice([ending, b""])
+        options = ParseOptions(headers=False, field_count=r.choice(["flexible", "match_first"]))
+        test = r.choice([None, P.contains(0, "b"), P.equals(0, "a"), P.starts_with(width - 1, "x"), P.equals(0, "")])
+        wanted = wanted_of(None, [r.randrange(width), 0], test, r.random() < 0.5, True)
+        part = split.Part("memory", 0, len(body), 0, 1, True)
+        import quillrow.operators.scan as scan
+
+        def run(plain: bool) -> list:
+            out = []
+            able, read = scan.Plain.read, scan._blocks
+            scan._blocks = lambda *a: iter([body])
+            if not plain:
+                scan.Plain.read = lambda *a: None
+            try:
+                for batch, error in part_batches(part, fmt, options, None, wanted):
+                    out += batch.to_pylist() if batch is not None else []
+                    out += [str(error)] if error is not None else []
+            except QuillError as error:
+                out.append(error.kind)
+            finally:
+                scan.Plain.read, scan._blocks = able, read
+            return out
+
+        assert run(True) == run(False), (k, fmt, body, options, test)
+
+
 @pytest.mark.parametrize("chunk", [3, 8, 64])
 def test_the_first_error_wherever_the_cuts_are(spark, tmp_path, chunk):
     body = BODY + b'6,g"h,i\n7,"x"y,z\n'
