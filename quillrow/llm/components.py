@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import materialize
+from .workspace import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connect(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     for _ in range(most_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        before, edges = edges, materialize(_small_star(_large_star(edges)), "links")
+        discard(before)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark or not state[0]:
             break

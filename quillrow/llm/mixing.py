@@ -18,7 +18,7 @@ tasks; only one row a source meets in a single task, to settle the targets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .workspace import materialize
@@ -58,7 +58,39 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_passes: int = 3, sl
     taken: words the mix takes of it, repeats counted.  position: when it is first trained on
     (0..1, null if never).  Rows come range-sorted by position.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    placed, u, linear = _placed(docs, weights, slopes, max_passes, slot_digits)
+    return placed.select(
+        "doc_id",
+        "source",
+        "size",
+        F.col("full_size").alias("source_size"),
+        "target",
+        "taken",
+        "passes",
+        F.when(F.col("taken") > 0, _when(u(F.lit(0)), linear)).alias("position"),
+    ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def schedule(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_passes: int = 3, slot_digits: int = 3) -> DataFrame:
+    """The training order: one row each time a document is trained on, range-sorted by position.
+
+    doc_id, source, pass (from 0), words (all of the document's, or the part that the last pass takes of the
+    last document) and position.  The words of a document add up to what ``mix`` takes of it.
+    """
+    placed, u, linear = _placed(docs, weights, slopes, max_passes, slot_digits)
+    each = placed.where("taken > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)))
+    words = F.when(F.col("pass") < F.col("full_passes"), F.col("size")).otherwise(F.col("part"))
+    return each.select("doc_id", "source", "pass", words.alias("words"), _when(u(F.col("pass")), linear).alias("position")).orderBy("position", "source", "doc_id")
+
+
+def _when(u: Column, linear: Column) -> Column:
+    """The training time at which a source has met the part u of its demand."""
+    return 2 * u / (linear + F.sqrt(linear * linear + 4 * F.col("slope") * u))
+
+
+def _placed(docs: DataFrame, weights, slopes, max_passes: int, slot_digits: int):
+    """Each document's place in its source's stream and what is taken of it; the part of the demand that
+    is met before its n-th pass, and the linear term of the schedule."""
     sized = materialize(
         docs.select(
             "doc_id",
@@ -72,9 +104,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_passes: int = 3, sl
         "size",
         F.coalesce("source", F.lit("")).alias("src"),
         F.col("source").isNull().alias("src_null"),
-        key.alias("key"),
-        F.substring(key, 1, slot_digits).alias("slot"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), F.col("size").cast("string")))).alias("key"),
     )
+    sized = sized.withColumn("slot", F.substring("key", 1, slot_digits))
     slot_sums = sized.groupBy("src", "src_null", "slot").agg(F.sum("size").alias("slot_size"))
     within = Window.partitionBy("src", "src_null").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slot_starts = slot_sums.withColumn("before", F.coalesce(F.sum("slot_size").over(within), F.lit(0)))
@@ -83,24 +115,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, max_passes: int = 3, sl
     running = Window.partitionBy("src", "src_null", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     passes = F.when(F.col("full_size") > 0, F.floor(F.col("target") / F.col("full_size"))).otherwise(0)
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target") + 0.5) - F.col("full_passes") * F.col("full_size") - F.col("begins")))
-    u = F.col("begins") / F.col("target")
-    linear = 1 - F.col("slope")
-    return (
+    placed = (
         sized.join(plan, ["src", "src_null", "slot"])
         .withColumn("begins", F.col("before") + F.coalesce(F.sum("size").over(running), F.lit(0)))
         .withColumn("full_passes", passes)
         .withColumn("part", part)
         .withColumn("taken", F.col("full_passes") * F.col("size") + F.col("part"))
-        .withColumn("position", F.when(F.col("taken") > 0, 2 * u / (linear + F.sqrt(linear * linear + 4 * F.col("slope") * u))))
-        .select(
-            "doc_id",
-            "source",
-            "size",
-            F.col("full_size").alias("source_size"),
-            "target",
-            "taken",
-            F.when(F.col("taken") > 0, F.col("full_passes") + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(0).alias("passes"),
-            "position",
-        )
-        .orderBy(F.col("position").asc_nulls_last(), "doc_id")
+        .withColumn("passes", F.when(F.col("taken") > 0, F.col("full_passes") + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(0))
     )
+    return placed, lambda n: (F.col("begins") + n * F.col("full_size")) / F.col("target"), 1 - F.col("slope")

@@ -4,7 +4,7 @@ MIXING = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(source, '') AS src, source IS NULL AS src_null,
     CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+    md5(coalesce(CAST(doc_id AS VARCHAR), '/' || coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0))) AS key
   FROM documents),
 sizes AS (
   SELECT src, src_null, CAST(sum(size) AS BIGINT) AS full_size,

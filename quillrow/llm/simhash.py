@@ -13,8 +13,10 @@ like any other; copies share a fingerprint and are expanded only in the last joi
 a doc_id each give a row; a null doc_id is never a component's id unless it has no other; an empty
 table gives an empty result; extra columns are ignored.
 
-Scale: variants are made from distinct fingerprints, natively, and sorted by the shuffle, so a task
-holds one variant's fingerprints at a time.  The keys keep 42 bits or more, so that chance meetings
+Scale: variants are made from distinct fingerprints, natively, a bounded number of fingerprints a task, and
+sorted by the shuffle, so a task holds one variant's fingerprints at a time.  Copies of one fingerprint are
+labelled by a task for each million; the list of such fingerprints, a broadcast, has one entry at most for each
+million documents.  The keys keep 42 bits or more, so that chance meetings
 stay rare at 10**10 documents.
 """
 
@@ -188,22 +190,33 @@ def _verified(radius: int, block: int = 1024):
     return run
 
 
-def linked(distinct: DataFrame, radius: int = 3, groups: int = 3) -> DataFrame:
-    """Links (a, b) between the distinct ``bits`` that connect all fingerprints within ``radius``."""
+def linked(distinct: DataFrame, radius: int = 3, groups: int = 3, tasks: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct ``bits`` that connect all fingerprints within ``radius``.
+
+    ``tasks``: in how many tasks variants are made, 131 of each fingerprint.
+    """
     if not 0 <= radius <= 3:
         raise ValueError("the variants meet for a radius of at most 3")
     masks, flips = variants(groups)
     literal = lambda xs: "array(" + ",".join(f"{_signed(x)}L" if _signed(x) != -(1 << 63) else "shiftleft(1L, 63)" for x in xs) + ")"
     key = F.expr(f"explode(zip_with({literal(masks)}, {literal(flips)}, (m, f) -> (bits & m) ^ f))")
-    return distinct.select("bits", key.alias("key")).repartition("key").sortWithinPartitions("key").mapInArrow(_verified(radius), "a long, b long")
+    spread = distinct.select("bits") if tasks is None else distinct.select("bits").repartition(tasks, "bits")
+    return spread.select("bits", key.alias("key")).repartition("key").sortWithinPartitions("key").mapInArrow(_verified(radius), "a long, b long")
+
+
+#: Fingerprints whose variants one task makes, and copies of a fingerprint that are labelled by one task.
+_EACH, _HOT = 50_000, 1 << 20
 
 
-def group(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
+def group(docs: DataFrame, k: int = 3, radius: int = 3, hot: int = _HOT) -> DataFrame:
     """One row a document: doc_id, fingerprint (hexadecimal), component_id (its least doc_id)."""
     bits = materialize(fingerprints(docs, k), "fingerprints")
-    own = bits.groupBy("bits").agg(F.min("doc_id").alias("least"))
-    roots = connect(linked(own.select("bits"), radius))
-    rooted = own.join(roots, F.col("bits") == F.col("node"), "left").select("bits", "least", F.coalesce("root", "bits").alias("root"))
+    own = materialize(bits.groupBy("bits").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "prints")
+    roots = connect(linked(own, radius, tasks=-(-own.count() // _EACH) or 1))
+    rooted = own.join(roots, F.col("bits") == F.col("node"), "left").select("bits", "least", F.ceil(F.col("copies") / hot).alias("salts"), F.coalesce("root", "bits").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select("bits", "root").join(ids, "root").select("bits", "component_id")
-    return bits.join(labels, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    labels = rooted.select("bits", "salts", "root").join(ids, "root").select("bits", "component_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    # fingerprints of very many copies go to several tasks; there is at most one for every ``hot`` documents
+    many = own.where(F.col("copies") > hot).select("bits", F.ceil(F.col("copies") / hot).alias("salts"))
+    spread = bits.join(F.broadcast(many), "bits", "left").select("bits", "doc_id", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0).cast("long")).alias("salt"))
+    return spread.join(labels, ["bits", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")

@@ -133,6 +133,7 @@ def counter(path: str):
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_tokens, over_limit (more than ``limit`` tokens)."""
     path = path or vocabulary_path()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
@@ -146,4 +147,4 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -4,22 +4,14 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
-
+from ..sources.files import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="quillrow-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
@@ -37,7 +29,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.quill_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for table in tables:
+        drop(table.sparkSession, table.quill_path)
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -23,7 +23,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for name in ("row", "line", "size", "bits", "unit", "start", "many", "node", "root", "key", "slot", "label", "score", "item_id", "least", "removed"):
+    for name in ("row", "line", "size", "bits", "unit", "start", "many", "node", "root", "key", "slot", "label", "score", "item_id", "least", "removed", "same", "_same", "_size", "_root", "many", "salt", "salts", "copies"):
         df = df.withColumn(name, F.lit("x"))
     return df
 

@@ -585,6 +585,26 @@ def test_mix(documents, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_schedule_has_every_pass(documents, odd):
+    taken = {r.doc_id: r for r in mixing.mix(documents).collect()}
+    rows = mixing.schedule(documents).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    assert {i: sum(r.words for r in rs) for i, rs in by.items()} == {i: r.taken for i, r in taken.items() if r.taken}
+    assert all(sorted(r["pass"] for r in rs) == list(range(taken[i].passes)) and min(r.position for r in rs) == taken[i].position for i, rs in by.items())
+    assert [r.position for r in rows] == sorted(r.position for r in rows) and all(0 <= r.position <= 1 for r in rows)
+    assert max(len(rs) for rs in by.values()) > 1
+    # a source's demand over time is its schedule: half of a source of constant weight by half of the time
+    for source in {r.source for r in rows}:
+        own = [r for r in rows if r.source == source]
+        k = sorted({r.source for r in rows}).index(source) % 3
+        half, total = sum(r.words for r in own if r.position < 0.5), sum(r.words for r in own)
+        # but for the document that is read at that time
+        assert abs(half - (0.5 - mixing.SLOPES[k] / 4) * total) <= max(r.words for r in own) + 1, source
+    assert mixing.schedule(odd).count() > 0
+
+
 def test_mix_targets_stop_at_three_times_the_source(spark):
     sizes = spark.createDataFrame([("a", False, 1), ("b", False, 100), ("c", False, 100), ("", True, 10)], "src string, src_null boolean, source_size bigint")
     got = {(r.src, r.src_null): r.target for r in mixing.targets(sizes).collect()}
@@ -607,6 +627,7 @@ def test_simhash(documents, texts, odd, none):
             ids = sorted(prints)
             want = brute.components(ids, [prints[i] for i in ids])
             assert {r.doc_id: r.component_id for r in got} == want
+            assert sorted(map(str, simhash.group(df, hot=3).collect())) == sorted(map(str, got))
     assert len(simhash.group(odd).collect()) == len(ODD)
     assert simhash.group(none).count() == 0
 
