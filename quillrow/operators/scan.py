@@ -26,7 +26,7 @@ from ..sources import files
 from ..sources.blocks import Wanted, batch, read_block
 from ..sources.parser import Parser
 from ..sources.plain import Plain
-from ..sources.split import HERE, Part, chunk_bytes, plan
+from ..sources.split import HERE, Part, chunk_bytes, plan, record_ends
 
 #: Bytes read at once within a part, and bytes parsed at once, which a core's cache should hold.
 READ, BLOCK = 8 << 20, 1 << 20
@@ -173,13 +173,8 @@ def _blocks(part: Part, fmt: Format, read: int, block: int) -> Iterator[bytes]:
 
 
 def _last_end(data: bytes, fmt: Format) -> int:
-    """Just after the last record end outside quotes, 0 if there is none."""
-    array = np.frombuffer(data, np.uint8)
-    quotes = array == fmt.quote[0]
-    end = array == fmt.lead[0]
-    if quotes.any():
-        end &= np.bitwise_xor.accumulate(quotes.astype(np.int8)) == 0
-    at = np.flatnonzero(end)
+    """Just after the last record end, 0 if there is none."""
+    at = record_ends(data, fmt)[0]
     return int(at[-1]) + 1 if len(at) else 0
 
 

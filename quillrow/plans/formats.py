@@ -150,12 +150,11 @@ class Format:
         return None
 
     def unsplittable(self) -> str | None:
-        """Why a document can't be cut by counting quotes, if so."""
+        """Why a document can't be cut by counting quotes (or, where nothing is quoted, escapes), if so."""
         for bad, why in (
             (self.comment, "comments"),
-            (self.escape.style != "double_quote", "an escape other than doubled quotes"),
+            (self.escape.style != "double_quote" and self.syntax.quoting, "quotes and an escape other than doubled quotes"),
             (len(self.delimiter) > 1 or (isinstance(self.record_ending, bytes) and len(self.record_ending) > 1), "separators of several bytes"),
-            (not self.syntax.quoting, "quoting turned off"),
             (self.syntax.unquoted_quotes, "bare quotes in unquoted fields"),
             (self.skip_blank_records, "blank records skipped"),
         ):

@@ -1,7 +1,8 @@
 """Exact cuts of documents: where each part's first record begins, and its number and line.
 
-A first pass over fixed chunks, in parallel, counts for either state of quoting: quotes, record ends
-and line feeds, and the first record end.  The driver then folds the few numbers of each chunk from
+A first pass over fixed chunks, in parallel, counts for either state at the chunk's start: record ends
+and line feeds, the first record end, and the state at its end.  The state is whether quotes are open or,
+in a format without quotes, whether the first byte is escaped.  The driver then folds the few numbers of each chunk from
 left to right, so every part knows its state without any part having read another's bytes.  Parity is
 exact up to the first error of a document, and what follows an error isn't used.
 """
@@ -25,7 +26,7 @@ CHUNK, LEAST = 64 << 20, 1 << 20
 LOCAL = 16 << 30
 #: Bytes whose probe by threads of the driver takes less time than a job.
 HERE = 128 << 20
-_NUMBERS = ("quotes", "lf", "ends0", "first0", "head0", "ends1", "first1", "head1")
+_NUMBERS = ("lf", "ends0", "first0", "head0", "next0", "ends1", "first1", "head1", "next1")
 _PROBE = "path string, start bigint, " + ", ".join(f"{n} bigint" for n in _NUMBERS)
 
 
@@ -42,18 +43,36 @@ class Part:
 
 
 def probe(data: bytes, fmt: Format) -> tuple[int, ...]:
-    """Quotes, line feeds, and for the states outside and inside quotes: record ends, where the first
-    one is, and the line feeds up to it."""
-    array = np.frombuffer(data, np.uint8)
-    step = (array == fmt.quote[0]).astype(np.int8)
-    inside = np.bitwise_xor.accumulate(step) if len(step) else step
-    end = array == fmt.lead[0]
-    out = []
+    """Line feeds, and for either state: record ends, where the first one is and the line feeds up to it,
+    and the state after."""
+    out = [data.count(b"\n")]
     for state in (0, 1):
-        at = np.flatnonzero(end & (inside == state))
+        at, after = record_ends(data, fmt, state)
         first = int(at[0]) + 1 if len(at) else -1
-        out += [len(at), first, data.count(b"\n", 0, max(first, 0))]
-    return int(step.sum(dtype=np.int64)), data.count(b"\n"), *out
+        out += [len(at), first, data.count(b"\n", 0, max(first, 0)), after]
+    return tuple(out)
+
+
+def record_ends(data: bytes, fmt: Format, state: int = 0) -> tuple[np.ndarray, int]:
+    """Places of the bytes that end records, and the state after the data."""
+    array = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(array == fmt.lead[0])
+    if fmt.syntax.quoting:
+        quotes = np.flatnonzero(array == fmt.quote[0])
+        if len(quotes):
+            at = at[(np.searchsorted(quotes, at) + state) % 2 == 0]
+        elif state:
+            at = at[:0]
+        return at, (len(quotes) + state) % 2
+    if not fmt.escape.anywhere:
+        return at, 0
+    # a byte is escaped if an odd number of escapes, neighbours all, stand before it
+    other = np.flatnonzero(array != fmt.escape.anywhere[0])
+    places = np.append(at, len(array))
+    k = np.searchsorted(other, places) - 1
+    last = np.where(k >= 0, other[np.maximum(k, 0)] if len(other) else -1, -1)
+    odd = (places - 1 - last + np.where(last < 0, state, 0)) % 2 == 1
+    return at[~odd[:-1]], int(odd[-1])
 
 
 def chunk_bytes(spark: SparkSession, total: int) -> int:
@@ -122,6 +141,6 @@ def fold(rows: list, path: str, n: int) -> list[Part]:
             begin = (start, record + 1, line + head)
         record += (r.ends0, r.ends1)[state]
         line += r.lf
-        state ^= r.quotes & 1
+        state = (r.next0, r.next1)[state]
     parts.append(Part(path, begin[0], n, begin[1], begin[2], not parts))
     return [p for p in parts if p.end > p.start or p.first]

@@ -141,6 +141,19 @@ def test_cut_anywhere(spark, tmp_path, chunk):
     assert got == [(s, f, li, i) for f, s, li, i in whole]
 
 
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 30])
+def test_cut_anywhere_between_escapes(spark, tmp_path, chunk):
+    """A format without quotes is cut at line feeds that no escape protects."""
+    path = tmp_path / "d.tsv"
+    body = b'1\ta\\\nb\n2\t\\\\\n3\t\\\\\\\nx"\n\\N\t\\\\\\\\\n5\t\n'
+    path.write_bytes(body)
+    whole = [(r.start, r.fields, r.line, r.index) for r in Parser(body, fm.MYSQL, ParseOptions(headers=False))]
+    assert len(whole) == 5
+    for here in (0, 1 << 20):
+        rows = Document.open(spark, str(path), fm.MYSQL, ParseOptions(headers=False), small=0, chunk=chunk, here=here).scan(text=False, location=True)
+        assert sorted((r._loc.byte, [None if v is None else bytes(v) for v in r.fields], r._loc.line, r._loc.record) for r in rows.collect()) == whole
+
+
 @pytest.mark.parametrize("read,block", [(1, 1), (3, 2), (7, 5), (16, 4), (1000, 10)])
 def test_blocks_of_a_part_join_to_the_whole(tmp_path, read, block):
     from quillrow.operators.scan import _blocks
