@@ -359,8 +359,16 @@ def parse_column(df: DataFrame, column: str, fmt: Format = CSV, options: ParseOp
             values = values.fill_null(b"")
             offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
             body = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if values.buffers()[2] is not None else np.zeros(0, np.uint8)
-            fields = _one_each(body, offsets - offsets[0], fmt, options)
-            out, kept = batch(fields, wanted)
+            offsets = offsets - offsets[0]
+            plain = Plain(fmt, options, wanted, options.expected())
+            own = plain.able and len(body) and offsets[1] > 0 and (np.diff(offsets) > 0).all() and (body[offsets[1:] - 1] == 10).all()
+            result = plain.read(body.tobytes(), 0, 1, 0) if own else None
+            if result is not None and result[1] == len(values):
+                out, kept = result[0], np.arange(len(values)) if plain.kept is None else plain.kept
+                if out is None:
+                    continue
+            else:
+                out, kept = batch(_one_each(body, offsets, fmt, options), wanted)
             if keep:
                 also = rows.select(list(keep))
                 also = also if len(kept) == len(values) else also.take(pa.array(kept))

@@ -37,6 +37,7 @@ class Plain:
         self.able = supported(self.fmt) and self.fmt.record_ending in (NEWLINE, CRLF) and self.wanted.columns is not None
         self.misses = 0
         self.readers: dict[int, tuple] = {}
+        self.kept: np.ndarray | None = None  # which records the last rows are, None: all
 
     def _reader(self, width: int) -> tuple:
         if width not in self.readers:
@@ -74,6 +75,7 @@ class Plain:
         if self.expected is not None and width != self.expected:
             return None
         free = self.expected is None and self.options.field_count != MATCH_FIRST
+        self.kept = np.zeros(0, np.int64)
         if w.predicate is not None and free and w.predicate.literal and self.misses < _PATIENCE:
             if w.at is None or w.predicate.literal not in data:
                 self.misses = 0
@@ -96,6 +98,7 @@ class Plain:
             if not len(keep):
                 return None, n
             keep = None if len(keep) == n else keep
+        self.kept = keep
         out = [columns[c] if keep is None else columns[c].take(pa.array(keep)) for c in w.columns]
         if w.location:
             rows = np.arange(n) if keep is None else keep
