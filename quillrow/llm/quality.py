@@ -12,8 +12,9 @@ of its own; rows that repeat a doc_id are judged separately; an empty table give
 extra columns are ignored.
 
 Scale: texts are read once by a map that keeps one row a document with its line hashes, written to
-the shared folder; what is shuffled is a hash and an identity a line, pre-aggregated by task.  A hot
-line costs one row a task.  A single text is held whole by its task.
+the shared folder; what is shuffled is a hash and an identity a line, pre-aggregated by task.  The join that
+finds the frequent lines of documents shuffles both sides for itself alone, so adaptive execution splits the
+partition of a line that very many documents hold.  A single text is held whole by its task.
 """
 
 from __future__ import annotations

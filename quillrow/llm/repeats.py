@@ -16,8 +16,11 @@ text of a lesser doc_id, or earlier in the same text).  Strings are judged on th
     is merged with the others by binary search among sorted windows, spread by window.
 5.  Verdicts go back to the units, which cut the texts.
 
+Bytes are compared by the suffix arrays.  Strips and windows that are settled elsewhere are told apart by two
+64-bit hashes, that of their bytes and that of the anchor in them.
+
 Defined results: null or empty text has nothing removed; a null doc_id comes after all others; rows
-that repeat a doc_id are ordered as they are read; an empty table gives an empty result; extra
+that repeat a doc_id are ordered as they are read; doc_ids must be integers; an empty table gives an empty result; extra
 columns are ignored.  A text is held whole by its task.
 
 Scale: no step compares shards pairwise.  What is shuffled is one row an anchor and unit (about 3%
@@ -111,6 +114,8 @@ def unit_strips(unit: Unit, length: int, gram: int) -> Strips:
 
 def _ids(unit: Unit) -> np.ndarray:
     """doc_ids as integers, nulls last."""
+    if not pa.types.is_integer(unit.ids.type):
+        raise TypeError("the order of texts needs integer doc_ids")
     return unit.ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy()
 
 
@@ -296,13 +301,15 @@ def merge(table: pa.Table) -> pa.Table:
     """Windows that several shards keep: shard by shard, found among those before by binary search."""
     table = table.combine_chunks()
     column = lambda n: table.column(n).to_numpy()
-    key = mix(column("anchor").view(np.uint64)) ^ column("window").view(np.uint64)
+    # both hashes, so that sixteen bytes tell windows apart
+    key = np.stack([column("anchor"), column("window")], 1).astype(">i8").view("S16").ravel()
     place = np.empty(table.num_rows, np.int64)
     place[np.lexsort((column("start"), column("text"), column("unit"), column("doc_id")))] = np.arange(table.num_rows)
     shard = column("shard")
     goes = np.zeros(table.num_rows, bool)
-    kept_key, kept_row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    by = np.lexsort((key, shard))
+    kept_key, kept_row = np.zeros(0, "S16"), np.zeros(0, np.int64)
+    by = np.argsort(key, kind="stable")
+    by = by[np.argsort(shard[by], kind="stable")]
     for part in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1):
         at = np.searchsorted(kept_key, key[part])
         found = np.zeros(len(part), bool)

@@ -50,7 +50,7 @@ def test_quality_counts_every_document_of_a_template(spark):
     line = lambda name, j: " ".join(f"{name}x{letters(j)}y{letters(k)}" for k in range(8))
     own = lambda i, n: [line(f"w{letters(i)}", j) for j in range(n)]
     rows, frequent = [], {}
-    for g, (shared, extra, held) in enumerate([(20, 1, 30), (8, 2, 16), (4, 1, 15), (10, 3, 25)]):
+    for g, (shared, extra, held) in enumerate([(20, 1, 30), (8, 2, 16), (4, 1, 15), (10, 3, 25), (5, 1, 120)]):
         for _ in range(held):
             i = len(rows)
             rows.append((i, "\n".join([line(f"t{letters(g)}", j) for j in range(shared)] + own(i, extra)), "h"))
@@ -114,6 +114,8 @@ def test_repeats_odd_rows(spark, odd, none):
     assert sorted(r.n_removed for r in rows if r.doc_id == 5) == sorted([brute.repeats([(5, LONG)])[5][1], len(LONG)])
     assert [r.n_removed for r in rows if r.doc_id == 9] == [1000 - 1]
     assert repeats.remove_repeats(none).count() == 0
+    with pytest.raises(Exception, match="integer doc_ids"):
+        repeats.remove_repeats(spark.createDataFrame([("a", "x" * 200)], "doc_id string, text string")).collect()
     periodic = spark.createDataFrame([(1, "ab" * 90), (2, "abc" * 200), (3, "x" * 60 + "ab" * 90)], "doc_id bigint, text string")
     want = brute.repeats([(r.doc_id, r.text) for r in periodic.collect()])
     assert {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(periodic, crowd=1, unit_bytes=256, shard_bytes=256).collect()} == want
