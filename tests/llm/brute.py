@@ -117,3 +117,136 @@ def repeats(rows, length=100):
         kept = bytes(b for b, g in zip(body, gone) if not g)
         out[i] = (len(body), sum(gone), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+# The pipeline, stage by stage: rows are dicts of documents.
+
+
+def normal_lines(text):
+    """The distinct normalised lines of a text, each with its words."""
+    import re as r
+    from collections import Counter as C
+
+    own = C()
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            folded = "".join("0" if c in "123456789" else c for c in lower(line))
+            own[r.sub(r"[^a-z0\x80-\U0010ffff]", "", folded)] += len(WORD.findall(line))
+    return own
+
+
+def quality_kept(rows, min_documents=10, share=0.01, min_left=0.3):
+    lines = [normal_lines(r["text"]) for r in rows]
+    whole = [frozenset(x) for x in lines]
+    hosts, holders = {}, {}
+    for r, own, w in zip(rows, lines, whole):
+        hosts.setdefault(r["source"], set()).add(w)
+        for x in own:
+            holders.setdefault((r["source"], x), set()).add(w)
+    out = []
+    for r, own in zip(rows, lines):
+        base = quality(r["text"])
+        limit = max(min_documents, share * len(hosts[r["source"]]))
+        gone = sum(n for x, n in own.items() if len(holders[r["source"], x]) > limit)
+        if not base["base_failed"] and base["n_words"] - gone >= min_left * base["n_words"]:
+            out.append(r)
+    return out
+
+
+def near_kept(rows, k=5, similarity=0.8):
+    """One row of each group, by comparing all pairs of shingle sets."""
+    words = [tuple(WORD.findall(lower(r["text"]))) for r in rows]
+    sets = [{w[i : i + k] for i in range(len(w) - k + 1)} for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            same = words[a] == words[b]
+            if not same and sets[a] and sets[b] and min(len(sets[a]), len(sets[b])) >= similarity * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                same = both >= similarity * (len(sets[a]) + len(sets[b]) - both)
+            if same:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r["doc_id"]), r["doc_id"])
+    return [r for i, r in enumerate(rows) if least[find(i)] == r["doc_id"]]
+
+
+def fold(text):
+    """Lower case, one blank for each run of what is neither letter nor digit, in bytes."""
+    import re as r
+
+    raw = lower(text).encode()
+    raw = r.sub(rb"\xc3([\x80-\x96\x98-\x9e])", lambda m: b"\xc3" + bytes([m[1][0] + 32]), raw)
+    return r.sub(rb"[^a-z0-9\x80-\xff]+", b" ", raw).strip(b" ")
+
+
+def least_edits(passage, text):
+    """Least edits between the passage and any part of the text: all cells, a row at a time."""
+    import numpy as np
+
+    t = np.frombuffer(text, np.uint8)
+    j = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, dtype=np.int64)
+    for i, c in enumerate(passage, 1):
+        new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (t != c)]))
+        row = np.minimum.accumulate(new - j) + j
+    return int(row.min())
+
+
+def clean_kept(rows, items, budget=0.1, q=8):
+    passages = [f for t in items if t is not None and (f := fold(t))]
+    edits = [min(int(budget * len(p) + 1e-9), max(len(p) - q, 0) // q) for p in passages]
+    folded = [fold(r["text"]) for r in rows]
+    return [r for r, f in zip(rows, folded) if not any(least_edits(p, f) <= e for p, e in zip(passages, edits))]
+
+
+def masked(rows, mask="[secret]"):
+    out = []
+    for r in rows:
+        text, at, parts = r["text"] or "", 0, []
+        for s, _, e in spans(text, SECRET):
+            if s >= at:
+                parts += [text[at:s], mask]
+            at = max(at, e)
+        out.append(r | {"text": "".join([*parts, text[at:]]) if parts else r["text"]})
+    return out
+
+
+def mixed(rows, weights=(5, 2, 1), passes=3):
+    """doc_id -> (size, source_size, target, taken)."""
+    import hashlib
+
+    size = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in rows}
+    sources = {}
+    for r in rows:
+        sources.setdefault(r["source"], []).append(r["doc_id"])
+    names = sorted(sources)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total = {s: sum(size[i] for i in sources[s]) for s in names}
+    target, left, open_ = {}, sum(total.values()), set(names)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > passes * total[s]}
+        if not full:
+            target |= share
+            break
+        for s in full:
+            target[s] = float(passes * total[s])
+            left -= target[s]
+        open_ -= full
+    out = {}
+    for s in names:
+        whole, begins = (int(target[s] // total[s]) if total[s] else 0), 0
+        rest = int(target[s] + 0.5) - whole * total[s]
+        for i in sorted(sources[s], key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)):
+            out[i] = (size[i], total[s], target[s], whole * size[i] + max(0, min(size[i], rest - begins)))
+            begins += size[i]
+    return out

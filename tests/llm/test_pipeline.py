@@ -101,6 +101,28 @@ def test_run(spark):
     assert sum(r.taken for r in rows) > 0
 
 
+def test_every_stage_is_what_brute_force_gives(spark):
+    """The whole pipeline over the smallest tables, stage by stage on what the one before kept."""
+    import brute
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    steps = [brute.quality_kept, brute.near_kept, lambda rs: brute.clean_kept(rs, items), brute.masked]
+    left = []
+    for (name, stage), step in zip(corpus_pipeline.STAGES, steps):
+        docs, rows = stage(spark, docs, SMALL), step(rows)
+        got = sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.collect())
+        assert got == sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows), name
+        left.append(len(rows))
+    assert 200 > left[0] > left[1] > left[2] == left[3] > 50
+    want = brute.mixed(rows)
+    got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken) for r in corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()}
+    assert set(got) == set(want)
+    for i, (size, full, target, taken) in want.items():
+        assert got[i][:2] == (size, full) and abs(got[i][2] - target) < 1e-6 * max(1, target) and got[i][3] == taken, i
+
+
 def test_near_copies_of_every_kind_meet(spark):
     """Truncated, appended to, a block put in, words changed: all pairs at or above 0.8 must fall together."""
     r = np.random.default_rng(12)
