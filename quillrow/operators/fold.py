@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 from .scan import Document
 
 
-def fold(rows: DataFrame, init: Callable[[], Any], step: Callable[[Any, dict], Any]) -> list[Any]:
+def fold(rows: DataFrame, init: Callable[[], Any], step: Callable[[Any, Any], Any], by_batch: bool = False) -> list[Any]:
     """One accumulator a partition, in no order: ``step(accumulator, row)`` returns the next one.
 
+    ``by_batch``: the step takes whole Arrow batches instead, for arithmetic on columns.
     Accumulators come to the driver; keep them small.  Ordinary aggregates are better left to
     ``DataFrame.agg``.
     """
@@ -22,9 +23,9 @@ def fold(rows: DataFrame, init: Callable[[], Any], step: Callable[[Any, dict], A
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, any_ = init(), False
         for batch in batches:
-            for row in batch.to_pylist():
+            for part in [batch] if by_batch else batch.to_pylist():
                 any_ = True
-                state = step(state, row)
+                state = step(state, part)
         if any_:
             yield pa.RecordBatch.from_pydict({"state": [pickle.dumps(state)]})
 

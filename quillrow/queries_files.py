@@ -197,6 +197,18 @@ def fold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(sum(p[0] for p in parts), sum(p[1] for p in parts), max(p[2] for p in parts))], "keys long, n long, longest long")
 
 
+@_register("fold_columns", "SELECT CAST(sum(o_orderkey) AS BIGINT) AS keys, count(*) AS n FROM orders WHERE o_orderstatus = 'O'")
+def fold_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accumulators over whole batches of a split file, after a predicate."""
+    import pyarrow.compute as pc
+
+    path = f"{scratch(spark, 'fold')}.csv"
+    writer.write_one(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), path)
+    rows = _in_parts(spark, path).scan(columns=["o_orderkey"], predicate=P.equals("o_orderstatus", "O"))
+    parts = folds.fold(rows, lambda: (0, 0), lambda a, b: (a[0] + (pc.sum(b.column(0).cast(pa.int64())).as_py() or 0), a[1] + b.num_rows), by_batch=True)
+    return spark.createDataFrame([(sum(p[0] for p in parts), sum(p[1] for p in parts))], "keys long, n long")
+
+
 @_register("fold_batches", "SELECT (i - 1) // 64 AS batch, CAST(min(c_custkey) AS VARCHAR) AS first, count(*) AS n FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer) GROUP BY 1")
 def fold_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 64 rows in document order."""
