@@ -15,7 +15,7 @@ each region is a row; repeated documents or passages each give rows; an empty ta
 result; extra columns are ignored.  Whole texts are searched whatever their length.
 
 Scale: a map over the documents without a shuffle.  The benchmark is cut in blocks so that an index,
-whose size is checked before it is broadcast, has at most ``INDEX_BYTES`` (about 20 bytes for each of the
+whose size is checked before it is broadcast, has at most ``INDEX_BYTES`` (some 20 bytes for each of the
 passages, equal ones once).  A larger benchmark is searched block by block, each in a pass of its own
 whose result is written, so that executors hold one index at a time.  Hits of q-grams that many
 passages share are counted in turns of at most ``HITS``, by ranges of passages and then of the text.
