@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .spans import ALNUM, CodePoints
 from .textbatch import LOWER, slices
@@ -317,6 +318,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, most: i
     """One row a region: doc_id, item_id, edits, start, end (code points)."""
     doc_kind, item_kind = docs.schema["doc_id"].dataType, benchmark.schema["item_id"].dataType
     schema = f"doc_id {doc_kind.simpleString()}, item_id {item_kind.simpleString()}, edits int, start long, end long"
+    kind = to_arrow_type(item_kind)
     texts = docs.select("doc_id", "text")
 
     def search(shared, _) -> DataFrame:
@@ -333,7 +335,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, most: i
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array([r[0] for r in rows])),
-                            pa.array([r[1] for r in rows]),
+                            pa.array([r[1] for r in rows], kind),
                             pa.array([r[2] for r in rows], pa.int32()),
                             pa.array([points(r[0], int(origin[r[3]])) for r in rows], pa.int64()),
                             pa.array([points(r[0], int(origin[r[4] - 1]) + 1) for r in rows], pa.int64()),

@@ -131,15 +131,19 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batch.column("text")):
             counts = measure(texts)
             rows = batch.slice(texts.first, texts.n)
-            columns = [rows.column("doc_id"), rows.column("source")]
+            columns = [rows.column("doc_id"), rows.column("source"), rows.column("text_hash")]
             columns += [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in counts.values()]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", *counts])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "source", "text_hash", *counts])
 
 
 def judge(docs: DataFrame, min_documents: int = 10, share: float = 0.01, min_left: float = 0.3, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """One row a document: the base counts, base_failed, kept, and the words its frequent lines hold."""
+    """One row a document: the base counts, base_failed, kept, and the words its frequent lines hold.
+
+    With them go source and text_hash (XXH64 of the text), which tell rows of one doc_id apart.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.select("doc_id", "text", F.col("source").cast("string").alias("source")).mapInArrow(_run, f"doc_id {kind}, source string, {SCHEMA}")
+    own = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"))
+    measured = own.mapInArrow(_run, f"doc_id {kind}, source string, text_hash long, {SCHEMA}")
     rows = materialize(measured.withColumn("row", F.monotonically_increasing_id()), "quality")
     host = [F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("hostless")]
     lines = rows.select(
@@ -169,3 +173,13 @@ def judge(docs: DataFrame, min_documents: int = 10, share: float = 0.01, min_lef
         .withColumn("kept", ~failed & (F.col("n_words") - F.col("frequent_words") >= F.col("n_words") * min_left))
         .drop("row")
     )
+
+
+def without_rejected(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that the rules keep, all their columns as they are.
+
+    Every row has its own verdict; rows of the same doc_id, source and text share it, as they must.
+    """
+    gone = judge(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("g_id"), F.col("source").alias("g_source"), F.col("text_hash").alias("g_hash")).distinct().hint("shuffle_hash")
+    same = docs["doc_id"].eqNullSafe(gone["g_id"]) & docs["source"].cast("string").eqNullSafe(gone["g_source"]) & (F.xxhash64(docs["text"]) == gone["g_hash"])
+    return docs.join(gone, same, "left_anti")

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
-    return judge(table(spark, sf_dir, "documents")).drop("source")
+    return judge(table(spark, sf_dir, "documents")).drop("source", "text_hash")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

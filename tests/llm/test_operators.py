@@ -65,6 +65,16 @@ def test_quality_counts_every_document_of_a_template(spark):
     assert all(r.kept == (i not in frequent or frequent[i] <= 0.7 * r.n_words) for i, r in got.items())
 
 
+def test_quality_verdicts_are_of_rows(spark):
+    """A rejected row takes no other row of its doc_id along, nor one without an id the others."""
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, good, "a"), (1, "too short", "a"), (None, good + " x", "a"), (None, "short", "a"), (2, "", None), (3, None, "b"), (4, good + " y", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = quality.without_rejected(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r.text and len(r.text) > 60)
+
+
 # -- 2: token counts ----------------------------------------------------------------------------------
 
 
