@@ -25,8 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connect(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """links (a, b): one row (node, root) a node that isn't its component's least node.
 
-    Each round is written to the shared folder, so the lineage stays short; the number of rounds
-    grows with the logarithm of the longest path.  Self-links and repeated links do no harm.
+    Each round is written to the shared folder, so the lineage stays short, and the one before is deleted; the
+    number of rounds grows with the logarithm of the longest path.  Least neighbours are aggregated by task
+    before they are shuffled; the joins with them are shuffles of their own, in which adaptive execution splits
+    the partition of a hub.  Self-links and repeated links do no harm.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None

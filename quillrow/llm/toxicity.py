@@ -251,7 +251,8 @@ def train(texts: list[str], labels: np.ndarray, passes: int = PASSES, rate: floa
     for turn in range(passes):
         chosen = begin[:-1] + (r.random(len(texts)) * many).astype(np.int64)
         if turn >= 2:  # the highest window carries the label; of clean texts also one at random
-            top = _highest(net, t, index, first, length, text)
+            if turn % 2 == 0:  # found anew in every other pass
+                top = _highest(net, t, index, first, length, text)
             chosen = np.where((label > 0) | (r.random(len(texts)) < 0.5), top, chosen)
         for at in np.array_split(r.permutation(len(texts)), max(1, len(texts) // BATCH)):
             win = chosen[at]
