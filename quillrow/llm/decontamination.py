@@ -38,7 +38,7 @@ from .workspace import materialize
 
 Q, BUDGET = 8, 0.1
 #: Bytes of an index that is broadcast, and of the passages in a block for each of its bytes.
-INDEX_BYTES, PER_BYTE = 64 << 20, 24
+INDEX_BYTES, PER_BYTE = 128 << 20, 24
 #: Shared q-grams that are counted at once.
 HITS = 1 << 22
 _FOLD = np.where(ALNUM[LOWER] | (np.arange(256) >= 128), LOWER, 0x20).astype(np.uint8)

@@ -105,6 +105,7 @@ def labelled(seed: int = 11) -> dict[str, list[str]]:
         "plain_uuid": lambda: "-".join(some(hexa, n) for n in (8, 4, 4, 4, 12)),
         "plain_uuid_upper": lambda: "-".join(some(_DIGITS + "ABCDEF", n) for n in (8, 4, 4, 4, 12)),
         "plain_hash": lambda: some(hexa, r.randint(6, 23)),
+        "plain_named_hash": lambda: word() + r.choice("-_./=") + some(hexa, r.randint(6, 23)),
         "plain_code": lambda: some(r.choice([_LOWER, _UPPER, mixed, mixed, _DIGITS + _LOWER, _DIGITS + _UPPER]), r.randint(1, 14)),
         "plain_gene": lambda: some(r.choice(["ACGT", "acgt", "ACGU"]), long(6, 20)),
         "plain_time": lambda: date() + r.choice(["", f"T{some('01', 2)}-{some('012345', 2)}-{some('012345', 2)}Z", f"_{some(_DIGITS, 6)}"]),

@@ -550,7 +550,7 @@ def test_secrets_inside_longer_runs():
             for part in slices(pa.array([f"see {h}{x}{after} now" for h, x in zip(heads, examples)])):
                 for h, x, b, a in zip(heads, examples, *secrets.find(part, grammar, secrets.THRESHOLD)):
                     hits += any(s <= 4 + len(h) and 4 + len(h) + len(x) <= e for s, _, e in b + a) if not name.startswith("plain") else bool(a)
-            assert hits <= 0.06 * len(examples) if name.startswith("plain") else hits / len(examples) > 0.8, (name, after, hits)
+            assert hits <= 0.1 * len(examples) if name == "plain_code" else hits <= 0.02 * len(examples) if name.startswith("plain") else hits / len(examples) > 0.8, (name, after, hits)
 
 
 def test_secret_sequences_by_passes_are_those_by_listing():
