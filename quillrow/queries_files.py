@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import dataclasses
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -35,7 +34,7 @@ PARTS = 20
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that all executors share."""
-    return f"{files.shared_folder(spark)}/quillrow-files/{label}-{uuid.uuid4().hex}"
+    return files.temporary(spark, label)
 
 
 def _values(rows: list[tuple], columns: str) -> str:

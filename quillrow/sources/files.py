@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
 
 from pyarrow import fs
@@ -62,4 +64,27 @@ def shared_folder(spark) -> str:
 
         folder = "file://" + tempfile.mkdtemp(prefix="quillrow-")
         spark.conf.set("spark.checkpoint.dir", folder)
+        atexit.register(_remove, folder)
     return folder.rstrip("/")
+
+
+def _remove(folder: str) -> None:
+    system, own = opened(folder)
+    try:
+        system.delete_dir(own)
+    except OSError:  # another has deleted it, or nothing was written
+        return
+
+
+_own: dict[str, str] = {}
+
+
+def temporary(spark, label: str) -> str:
+    """A new place in the shared folder, which this process deletes when it ends."""
+    base = shared_folder(spark)
+    if base not in _own:
+        _own[base] = f"{base}/quillrow-files/{uuid.uuid4().hex}"
+        system, own = opened(_own[base])
+        system.create_dir(own, recursive=True)
+        atexit.register(_remove, _own[base])
+    return f"{_own[base]}/{label}-{uuid.uuid4().hex}"

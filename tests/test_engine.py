@@ -451,3 +451,28 @@ def test_an_index_generated_with_its_document(spark, tmp_path, name):
     rows = lambda i: sorted(tuple(r) for r in i.table.select("record", "byte", "line").collect())
     assert len(made) == 61 and rows(made) == rows(scanned)
     assert sorted(int(r.id) for r in made.read(10, 13, fmt).collect()) == [9, 10, 11]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            files.shared_folder(session(master))
+        assert files.shared_folder(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+
+
+def test_a_folder_is_split_by_the_data_source(spark, tmp_path):
+    api.register(spark)
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.csv").write_bytes(BODY)
+    rows = spark.read.format("quillrow").option("split_bytes", 20).load(str(tmp_path / "in"))
+    assert rows.rdd.getNumPartitions() > 3
+    assert sorted(r.id for r in rows.collect()) == sorted("12345" * 3)
+    (tmp_path / "in" / "4.csv").write_bytes(b"other,head\n1,2\n")
+    with pytest.raises(Exception, match="headers of"):
+        spark.read.format("quillrow").load(str(tmp_path / "in")).collect()
