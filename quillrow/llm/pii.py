@@ -11,7 +11,7 @@ whatever their length.
 
 Defined results: null or empty text has no spans; fixed-pattern spans stay, and a labelled span is
 added only where it overlaps none of them and could be of its kind (an at sign; four numbers up to 255; 12 to
-19 digits that pass Luhn; 9 to 15 digits); repeated rows each give a row; an empty table gives an
+19 digits that pass Luhn; 9 to 15 digits; neither with letters); repeated rows each give a row; an empty table gives an
 empty result; extra columns are ignored.
 
 Scale: a map without a shuffle; the field is trained on the driver from a table of bounded size.
@@ -289,6 +289,10 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
+#: What cards and phone numbers are written with.
+_CARD, _NUMBER = re.compile(rb"[0-9\s-]+"), re.compile(rb"[0-9\s+()./-]+")
+
+
 def _core(word: bytes) -> tuple[int, int]:
     """The word without the marks around it."""
     s, e = 0, len(word)
@@ -302,10 +306,14 @@ def _core(word: bytes) -> tuple[int, int]:
 def _plausible(kind: int, text: bytes) -> bool:
     """What the contract's own kinds can hold at all; labels that contradict it are dropped."""
     n = int(DIGIT[np.frombuffer(text, np.uint8)].sum())
+    if kind == 0:
+        return b"@" in text
     if kind == 1:
         parts = text.split(b".")
         return len(parts) == 4 and all(p.isdigit() and int(p) <= 255 for p in parts)
-    return (b"@" in text, None, 12 <= n <= 19 and luhn(text), 9 <= n <= 15)[kind]
+    if kind == 2:
+        return 12 <= n <= 19 and _CARD.fullmatch(text) is not None and luhn(text)
+    return 9 <= n <= 15 and _NUMBER.fullmatch(text) is not None
 
 
 def tagged(texts: Texts, body: bytes, field: Field, batch: int = BATCH_WORDS) -> list[tuple[int, int, int, int]]:

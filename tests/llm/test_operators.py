@@ -442,6 +442,7 @@ def test_personal_data_of_long_words_and_odd_numbers():
         "my card 4111 1111 1111 1112 ok": [],
         "in 2019 we had 300 cows and 400 sheep": [],
         "we met at 2024-01-15 10:30 today": [],
+        "key password=5197f409e51a76f6b0 here": [],
         "call 555 123 4567 now": ["phone 555 123 4567"],
         "dial 0044 20 7946 0958 please": ["phone 0044 20 7946 0958"],
         "fax 555.123.4567.": ["phone 555.123.4567"],
