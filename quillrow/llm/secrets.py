@@ -150,6 +150,8 @@ _CLASS_OF = np.zeros(CHARS, np.int8)
 _CLASS_OF[_CHAR[_CHAR >= 0]] = _CLASS[_CHAR >= 0]
 _PADDING = ord("=")
 #: Rules and rows of one character: it stays the same, or is any other.
+#: Bytes of text whose candidates are held at once.
+SLICE = 1 << 20
 #: Lengths with a likeliest string of their own.
 _LONGEST = 256
 _AGAIN, _OTHER = math.log(0.9), math.log(0.1 / CHARS)
@@ -536,7 +538,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE):
                 base, added = find(texts, grammar, threshold)
                 count = lambda k: pa.array([sum(x[1] == k for x in b) for b in base], pa.int64())  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
@@ -563,7 +565,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", threshold: float = THRESHOLD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in slices(batch.column("text")):
+            for texts in slices(batch.column("text"), SLICE):
                 rows = batch.slice(texts.first, texts.n)
                 base, added = find(texts, grammar, threshold)
                 if any(base) or any(added):
