@@ -35,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ LENGTH, GRAM = 100, 40
 CROWD = 12_000
 SHARD_BYTES = 2 << 20
 _PLACE = np.uint64((1 << 22) - 1)
-_PART = 1 << 21
+_PART = 1 << 19
+#: Bytes that are hashed, copied or sorted at once; texts and anchors with more are taken whole.
+_PIECE = 1 << 19
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -108,7 +111,7 @@ def _strips(texts: Texts, length: int, gram: int) -> Strips:
 
 
 def unit_strips(unit: Unit, length: int, gram: int) -> Strips:
-    parts = [_strips(t, length, gram) for t in unit.slices()]
+    parts = [_strips(t, length, gram) for t in unit.slices(_PIECE)]
     return Strips(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("anchor", "hash", "text", "start", "many")))
 
 
@@ -173,6 +176,20 @@ def _shared_anchors(crowd: int):
     return run
 
 
+def _copied(data: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ``size`` bytes from ``place`` end to end, and their cuts; indexes are made for a piece at a time."""
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    body = np.empty(cuts[-1], data.dtype)
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + _PIECE, "right")) - 1)
+        own = np.arange(cuts[at], cuts[end])
+        own += np.repeat(place[at:end] - cuts[at:end], size[at:end])
+        body[cuts[at] : cuts[end]] = data[own]
+        at = end
+    return body, cuts
+
+
 _STRIP = "shard long, anchor long, parts int, doc_id long, unit long, text int, start long, bytes binary"
 
 
@@ -197,8 +214,7 @@ def _strip_rows(length: int, gram: int, shards: int):
             shard = (mix(s.anchor + mix(s.hash % split)) % np.uint64(shards)).view(np.int64)
             place = unit.offsets[s.text] + s.start
             size = s.many + length - 1
-            cuts = np.concatenate([[0], np.cumsum(size)])
-            body = unit.data[np.arange(cuts[-1]) + np.repeat(place - cuts[:-1], size)]
+            body, cuts = _copied(unit.data, place, size)
             bytes_ = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(body)])
             out.append(
                 pa.Table.from_arrays(
@@ -235,7 +251,27 @@ def equal_windows(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def settle(table: pa.Table, length: int) -> pa.Table:
-    """One shard: which windows of its strips have an equal before them."""
+    """One shard: which windows of its strips have an equal before them.
+
+    Equal windows have equal anchors, so anchors are settled apart, some at a time.
+    """
+    table = table.combine_chunks()
+    anchor = table.column("anchor").to_numpy()
+    order = np.argsort(anchor, kind="stable")
+    ends = np.cumsum(pc.binary_length(table.column("bytes")).to_numpy()[order])
+    anchor = anchor[order]
+    heads = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))[: len(anchor)], len(anchor))
+    out, at = [], 0
+    while not out or at < len(heads) - 1:
+        done = ends[heads[at] - 1] if heads[at] else 0
+        end = max(at + 1, int(np.searchsorted(ends[heads[1:] - 1], done + _PIECE, "right"))) if len(anchor) else at
+        out.append(_settled(table.take(pa.array(order[heads[at] : heads[end]])), length))
+        at = end
+    return pa.concat_tables(out)
+
+
+def _settled(table: pa.Table, length: int) -> pa.Table:
+    """The verdicts on the strips of some anchors."""
     table = table.combine_chunks()
     column = lambda n: table.column(n).to_numpy()
     order = np.lexsort((column("start"), column("text"), column("unit"), column("doc_id")))
@@ -342,7 +378,7 @@ def _cut(length: int, gram: int):
             b = a + np.concatenate([many, s.many[again]]) + length - 1
             order = np.argsort(t, kind="stable")
             t, a, b = t[order], a[order], b[order]
-            for texts in unit.slices():
+            for texts in unit.slices(_PIECE):
                 lo, hi = np.searchsorted(t, [texts.first, texts.first + texts.n])
                 base = texts.offsets[t[lo:hi] - texts.first]
                 edge = np.bincount(base + a[lo:hi], minlength=len(texts.data) + 1) - np.bincount(base + b[lo:hi], minlength=len(texts.data) + 1)

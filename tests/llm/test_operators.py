@@ -7,6 +7,7 @@ from cases import LONG, ODD, SMALL
 from quillrow.llm import decontamination, lm, mixing, pii, quality, repeats, secrets, simhash, token_counts, toxicity
 from quillrow.llm.suffix_array import common_prefixes, suffix_array
 from quillrow.llm.textbatch import slices
+from quillrow.llm.units import unpack
 
 
 # -- 1: quality rules ---------------------------------------------------------------------------------
@@ -117,6 +118,34 @@ def test_repeats_match_brute_force(documents, texts, crowd, unit):
     assert {r.doc_id: tuple(r)[1:] for r in rows} == want
 
 
+def test_repeats_work_in_pieces():
+    """What a task holds besides a unit or a shard is made for a piece at a time."""
+    import tracemalloc
+
+    import zstandard
+
+    def peak(run, *args):
+        tracemalloc.start()
+        out = run(*args)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, top
+
+    data = np.random.default_rng(3).integers(97, 123, 1 << 21, dtype=np.uint8)
+    units = pa.table({"unit": [0], "ids": [[0]], "lengths": [[len(data)]], "body": [zstandard.compress(data.tobytes())]})
+    anchors = np.unique(repeats.unit_strips(next(unpack(units)), 100, 40).anchor)
+    answers = pa.table({"anchor": anchors.view(np.int64), "parts": pa.array(np.ones(len(anchors)), pa.int32())})
+    strips = repeats._strip_rows(100, 40, 1)(units, answers)
+    again = strips.set_column(3, "doc_id", pa.array(np.full(strips.num_rows, 7)))
+    verdicts, top = peak(repeats.settle, pa.concat_tables([strips, again]), 100)
+    size = sum(len(x.as_py()) for x in strips.column("bytes"))
+    assert sum(verdicts.column("many").to_pylist()) == size - 99 * strips.num_rows  # every window of text 7
+    assert set(verdicts.column("doc_id").to_pylist()) == {7}
+    assert top < 8 * size
+    packed, top = peak(repeats._strip_rows(100, 40, 1), units, answers)
+    assert packed.equals(strips) and top < 14 * size
+
+
 def test_repeats_odd_rows(spark, odd, none):
     rows = repeats.remove_repeats(odd).collect()
     assert len(rows) == len(ODD)
