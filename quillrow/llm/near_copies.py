@@ -19,7 +19,7 @@ others, whose plan is the same with and without them.
 
 Scale: exact copies collapse before anything else, so a group of copies costs one row.  The 60 keys
 of a text are shuffled as 16 bytes; texts are shuffled twice.  Clusters are verified in blocks, so a task holds two
-blocks of shingle sets, and what is already connected isn't compared again.
+blocks of shingle sets; what is already connected isn't compared again, nor what can't reach the similarity.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ GROUPS, MEMBERS, CHECK_BITS = 10, 6, 18
 _SEEDS = np.random.default_rng(20240511).integers(1, 1 << 63, (GROUPS * MEMBERS, 2), dtype=np.uint64) | np.uint64(1)
 _CHUNK = 1 << 15
 BLOCK = 256
+#: Shingles that are numbered at once, and columns of an incidence matrix.
+_PIECE, _COLUMNS = 1 << 20, 4096
 
 
 def _whole(body: np.ndarray, start: np.ndarray, end: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,38 +130,82 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def _in_common(values: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values every left row has in common with every right row, by products of incidence matrices."""
+    both = np.zeros((len(left), len(right)), np.float32)  # exact up to 2**24
+    place = np.full((2, max(left.max(), right.max()) + 1), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    pieces = -(-len(values) // _PIECE)
+    part = values.view(np.uint64) % np.uint64(pieces)
+    for piece in range(pieces):
+        own = part == piece
+        _, column = np.unique(values[own], return_inverse=True)
+        sides = [p[row[own]] for p in place]
+        shared = np.logical_and(*(np.bincount(column[s >= 0], minlength=column.max(initial=-1) + 1) > 0 for s in sides))
+        if left is right or len(left) == len(right) and (left == right).all():
+            shared &= np.bincount(column) > 1
+        column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
+        order = np.argsort(column, kind="stable")
+        column, sides = column[order], [s[order] for s in sides]
+        for at in range(0, int(shared.sum()), _COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + _COLUMNS])
+            a, b = (np.zeros((n, _COLUMNS), np.float32) for n in both.shape)
+            for matrix, s in zip((a, b), sides):
+                there = s[lo:hi] >= 0
+                matrix[s[lo:hi][there], column[lo:hi][there] - at] = 1
+            both += a @ b.T
+    return both.astype(np.float64)
+
+
 def _links(similarity: float):
     def run(table):
         """A forest of links between the rows of one block or pair of blocks.
 
         Rows that share a ``comp`` are connected already; of two sides only pairs across count.
         """
-        table = table.sort_by("node")
-        node, comp, side = (table.column(n).to_pylist() for n in ("node", "comp", "side"))
-        sets = [np.asarray(x.values) for x in table.column("shingles")]
-        across = len(set(side)) > 1
+        table = table.sort_by("node").combine_chunks()
+        node, comp, side = (table.column(n).to_numpy() for n in ("node", "comp", "side"))
+        lists = table.column("shingles").combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else lists.chunk(0)
+        size = lists.value_lengths().to_numpy()
+        whole = np.arange(len(node))
+        across = len(np.unique(side)) > 1
+        left, right = (np.flatnonzero(side == side.max()), np.flatnonzero(side == side.min())) if across else (whole, whole)
+        both = _in_common(lists.flatten().to_numpy(), np.repeat(whole, size), left, right)
+        near = (both >= similarity * (size[left][:, None] + size[right][None, :] - both)) & (comp[left][:, None] != comp[right][None, :])
+        i, j = np.nonzero(near if across else np.tril(near, -1))
+        i, j = left[i], right[j]
         forest = Forest()
-        a, b = [], []
-        for i in range(len(node)):
-            for j in range(i):
-                if across and side[i] == side[j]:
-                    continue
-                if forest.root(comp[i]) != forest.root(comp[j]) and alike(sets[i], sets[j], similarity):
-                    forest.join(comp[i], comp[j])
-                    a.append(node[i])
-                    b.append(node[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        new = [forest.join(x, y) for x, y in zip(comp[i].tolist(), comp[j].tolist())]
+        return pa.table({"a": pa.array(node[i][new], pa.int64()), "b": pa.array(node[j][new], pa.int64())})
 
     return run
 
 
+def _may_link(sets: DataFrame, similarity: float) -> DataFrame:
+    """The sets that could reach the similarity with another of their cluster.
+
+    Two sets of sizes x and y reach s if they have s / (1 + s) * (x + y) in common, and none has more in common than
+    it holds of what others hold too.  So a set reaches sizes up to a bound, and only from those that reach its own.
+    """
+    held = sets.select("root", "node", F.explode("shingles").alias("shingle")).groupBy("root", "shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    own = held.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    size = F.size("shingles")
+    reach = (size - F.coalesce("own", F.lit(0))) * (1 + 1 / similarity) - size + 0.001
+    texts = sets.join(own, "node", "left").select("root", "node", size.alias("size"), reach.alias("reach"))
+    kinds = texts.groupBy("root", "size").agg(F.max("reach").alias("top"), F.count("*").alias("n")).withColumnsRenamed({"root": "cluster", "size": "other"})
+    fits = (F.col("other") <= F.col("reach")) & (F.col("size") <= F.col("top")) & (F.col("other") >= similarity * F.col("size") - 0.001) & ((F.col("other") != F.col("size")) | (F.col("n") > 1))
+    return sets.join(texts.join(kinds, (F.col("root") == F.col("cluster")) & fits, "left_semi").select("node"), "node", "left_semi")
+
+
 def _verified_links(sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links (a, b) with the connectivity of all pairs of a cluster that reach the similarity.
 
-    sets: root (the cluster), node, shingles.  Clusters of one block are compared whole.  A larger
-    one is compared within blocks, then representatives of what is connected, again and again: a
-    group of copies falls together in a few rounds, each linear in what is left.  Then all that isn't
-    in the cluster's largest component is compared with everything in the others.
+    sets: root (the cluster), node, shingles.  Clusters of one block are compared whole.  Of a larger one the texts
+    that hold too much of their own to reach any other are left out.  The others are compared within blocks, then
+    representatives of what is connected, again and again: a group of copies falls together in a few rounds, each
+    linear in what is left.  Then all that isn't in the cluster's largest component is compared with everything in
+    the others.
     """
     find = lambda rows, *by: rows.groupBy(*by).applyInArrow(_links(similarity), "a long, b long")
     alone = lambda rows: rows.withColumn("comp", F.col("node")).withColumn("side", F.lit(0))
@@ -169,17 +215,18 @@ def _verified_links(sets: DataFrame, similarity: float, block: int) -> DataFrame
         place = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("members") / block))
         return find(alone(rows.join(count, "root").withColumn("block", place).drop("members")), "root", "block")
 
-    links = materialize(blocked(sets, 0), "verified")
     large = sets.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > block).select("root")
     if not large.limit(1).count():
-        return links
-    rest = materialize(sets.join(large, "root"), "large")
+        return materialize(blocked(sets, 0), "verified")
+    rest = materialize(_may_link(sets.join(large, "root"), similarity), "large")
+    links = materialize(find(alone(sets.join(large, "root", "left_anti")), "root").union(blocked(rest, 0)), "verified")
     before = rest.count()
     for turn in range(1, 40):
         grouped = connect(links)
         leaders = rest.join(grouped, "node", "left_anti")
         left = leaders.count()
-        if left == before:
+        # a round that joins few costs more than it saves the comparison below, which takes all that is left
+        if left >= 0.9 * before:
             break
         before = left
         links = materialize(links.union(blocked(leaders, turn)), "verified")

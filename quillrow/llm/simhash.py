@@ -117,11 +117,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) where a[i] and b[j] differ in at most ``radius`` bits."""
-    return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
-
-
 class Forest:
     """Union-find over the fingerprints that one task has linked; tells which links join two trees."""
 
@@ -147,9 +142,22 @@ class Forest:
         return True
 
 
-def _verified(radius: int, block: int = 1024):
+def spanning(bits: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
+    """Links that connect what chains of fingerprints within ``radius`` connect, one for each that is reached."""
+    left = np.unique(bits)
+    while len(left):
+        reached, left = [left[0]], left[1:]
+        while reached and len(left):
+            x = reached.pop()
+            hit = np.bitwise_count((left ^ x).view(np.uint64)) <= radius
+            found, left = left[hit], left[~hit]
+            yield from zip([int(x)] * len(found), found.tolist())
+            reached.extend(found)
+
+
+def _verified(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key: verify what shares a key, block by block, and emit a spanning forest."""
+        """Rows sorted by key: verify what shares a key and emit a spanning forest."""
         forest = Forest()
         held_key = np.zeros(0, np.int64)
         held_bits = np.zeros(0, np.int64)
@@ -162,12 +170,7 @@ def _verified(radius: int, block: int = 1024):
             ok = np.bitwise_count((a ^ b).view(np.uint64)) <= radius
             yield from zip(a[ok].tolist(), b[ok].tolist())
             for at, n in zip(cut[size > 2].tolist(), size[size > 2].tolist()):
-                own = np.unique(bits[at : at + n])
-                for i in range(0, len(own), block):
-                    for j in range(i, len(own), block):
-                        left, right = own[i : i + block], own[j : j + block]
-                        p, q = near(left.view(np.uint64), right.view(np.uint64), radius)
-                        yield from zip(left[p].tolist(), right[q].tolist())
+                yield from spanning(bits[at : at + n], radius)
 
         def emit(pairs) -> Iterator[pa.RecordBatch]:
             new = [(a, b) for a, b in pairs if a != b and forest.join(a, b)]

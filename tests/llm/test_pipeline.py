@@ -62,6 +62,61 @@ def test_large_clusters_in_small_blocks(spark, block):
     assert 1 < len(set(want.values())) < len(sets)
 
 
+def test_texts_that_reach_no_other_are_left_out(spark):
+    """Half of a crowd holds too much of its own to be alike; it isn't compared, and no link is lost."""
+    r = np.random.default_rng(9)
+    base = np.arange(1, 201)
+    fresh = iter(range(1000, 1 << 20))
+    changed = lambda n: np.unique([*r.choice(base, 200 - n, replace=False), *(next(fresh) for _ in range(n))])
+    sets = [changed(int(n)) for n in [*r.integers(0, 30, 150), *r.integers(45, 90, 150)]]
+    sets += [np.unique(sets[200][:190]), np.arange(-100, 0)]  # one of them has a copy; one is unlike all
+    df = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(sets)], "root bigint, node bigint, shingles array<bigint>")
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if near_copies.alike(sets[i], sets[j], 0.8)}
+    left = {x.node for x in near_copies._may_link(df, 0.8).collect()}
+    assert {i for pair in alike for i in pair} <= left
+    assert 200 in left and not left & {*range(150, 300), 301} - {200}
+    got = {x.node: x.root for x in connect(near_copies._verified_links(df, 0.8, 16)).collect()}
+    own = {i: i for i in range(len(sets))}
+    for _ in own:
+        for i, j in alike:
+            own[i] = own[j] = min(own[i], own[j])
+    assert {i: got.get(i, i) for i in own} == own
+
+
+def test_links_of_a_block_are_those_of_all_pairs():
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    for trial in range(40):
+        n = int(r.integers(1, 30))
+        sets = [np.unique(r.integers(0, 40, int(r.integers(1, 40)))) for _ in range(n)]
+        comp, side = r.integers(0, n, n), r.integers(0, 1 + trial % 2, n) + 0
+        table = pa.table({"node": np.arange(n), "comp": comp, "side": side, "shingles": pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))})
+        links = near_copies._links(0.5)(table).to_pydict()
+        across = len(set(side.tolist())) > 1
+        pairs = {(i, j) for i in range(n) for j in range(n) if i != j and near_copies.alike(sets[i], sets[j], 0.5) and not (across and side[i] == side[j])}
+        assert set(zip(links["a"], links["b"])) <= pairs
+
+        def groups(edges):
+            own = comp.copy()
+            for _ in range(n):
+                for i, j in edges:
+                    low, high = sorted((own[i], own[j]))
+                    own[own == high] = low
+            return own.tolist()
+
+        assert groups(list(zip(links["a"], links["b"]))) == groups(pairs)
+
+
+def test_chains_of_a_crowd_are_spanned():
+    from quillrow.llm.simhash import spanning
+
+    r = np.random.default_rng(1)
+    bits = np.unique(np.concatenate([r.integers(0, 1 << 10, 300), (1 << 40) * 1023 + r.integers(0, 1 << 10, 300)]))
+    links = list(spanning(bits, 3))
+    assert len(links) == len(bits) - 2 and all((a ^ b).bit_count() <= 3 for a, b in links)
+
+
 def test_near_copies_links_match_brute_force():
     from quillrow.llm.near_copies import alike
 
