@@ -1,6 +1,8 @@
-"""Near copies by word shingles: candidates by minimum hashes of the shingle sets, verified exactly.
+"""Near copies by word shingles: candidates by SimHash and by minimum hashes of the shingle sets, verified exactly.
 
-Of each text's set of ``k``-word shingles (the sets that the rule compares) the minima under 60 hash
+Each text has the fingerprint of ``simhash``, over its ``k``-word shingles; fingerprints within three bits are found
+by the same ball hashing that meets in the middle, and make their texts candidates.  At a similarity of 0.8
+fingerprints differ in 5 to 14 bits, which no ball of three reaches, so the rest has a way of its own.  Of each text's set of ``k``-word shingles (the sets that the rule compares) the minima under 60 hash
 functions are taken; two texts agree on each with a chance equal to their Jaccard similarity, wherever
 and however they differ.  The functions form groups of six, and each five of a group make a key.  What
 shares a key is checked by one bit of every minimum.  Texts that may be alike form clusters; within
@@ -18,7 +20,7 @@ returned as they are, whatever their names.  Rows whose id is null or repeated a
 others, whose plan is the same with and without them.
 
 Scale: exact copies collapse before anything else, so a group of copies costs one row.  The 60 keys
-of a text are shuffled as 16 bytes; texts are shuffled twice.  Clusters are verified in blocks, so a task holds two
+of a text and the 131 of a fingerprint are shuffled as 16 bytes; texts are shuffled twice.  Clusters are verified in blocks, so a task holds two
 blocks of shingle sets; what is already connected isn't compared again, nor what can't reach the similarity.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connect
-from .simhash import Forest, _verified, joined_words, shingle_spans
+from .simhash import _EACH, Forest, _verified, joined_words, linked, majority, shingle_hashes, shingle_spans
 from .textbatch import Texts, mix, slices, span_hashes
 from .workspace import discard, materialize
 
@@ -68,10 +70,11 @@ def minima(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 def sketch(texts: Texts, k: int) -> dict[str, np.ndarray]:
-    """Two hashes of the words, their number, a bit of each minimum, and the keys (texts by keys)."""
+    """Two hashes of the words, their number, the fingerprint, a bit of each minimum, and the keys (texts by keys)."""
     body, start, end, cuts = joined_words(texts)
     s, e, shingle_cuts = shingle_spans(start, end, cuts, k)
     whole, size = _whole(body, start, end, cuts)
+    fingerprint = majority(shingle_hashes(body.tobytes(), s, e), shingle_cuts)
     least = mix(minima(span_hashes(body, s, e), shingle_cuts))
     bits = np.zeros(texts.n, dtype=np.uint64)
     for i, row in enumerate(least):
@@ -82,7 +85,7 @@ def sketch(texts: Texts, k: int) -> dict[str, np.ndarray]:
     for i, own in enumerate(placed):
         g = i // MEMBERS * MEMBERS
         keys[:, i] = mix(placed[g : g + MEMBERS].sum(0) - own + np.uint64(i))
-    return {"same": whole.view(np.int64), "size": size, "many": np.diff(cuts), "bits": bits.view(np.int64), "keys": keys.view(np.int64)}
+    return {"same": whole.view(np.int64), "size": size, "many": np.diff(cuts), "print": fingerprint.view(np.int64), "bits": bits.view(np.int64), "keys": keys.view(np.int64)}
 
 
 def _sketches(k: int):
@@ -248,19 +251,28 @@ def _verified_links(sets: DataFrame, similarity: float, block: int) -> DataFrame
     return links.union(find(across.union(outer), "root", "kind", "p", "q"))
 
 
+def _of_one_ball(texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the ``bits`` of texts whose fingerprints are connected by steps of three bits or fewer."""
+    own = materialize(texts.select(F.col("print").alias("bits")).distinct(), "prints")
+    balls = connect(linked(own, tasks=-(-own.count() // _EACH) or 1)).withColumnRenamed("node", "print")
+    placed = texts.select("print", "bits").join(balls, "print", "left").select("bits", F.coalesce("root", "print").alias("ball")).distinct()
+    least = placed.groupBy("ball").agg(F.min("bits").alias("b"))
+    return placed.join(least, "ball").where("bits <> b").select(F.col("bits").alias("a"), "b")
+
+
 def one_of_each(docs: DataFrame, k: int = 5, similarity: float = 0.8, check_bits: int = CHECK_BITS, block: int = BLOCK) -> DataFrame:
     """The documents without near copies: of each group, the row of the least doc_id stays."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = "same long, size long, many long, bits long, keys array<long>"
+    fields = "same long, size long, many long, print long, bits long, keys array<long>"
     rows = materialize(docs.select("doc_id", "text").mapInArrow(_sketches(k), f"doc_id {kind}, {fields}"), "sketches")
     # ids of several rows, and null, don't tell a row
     shared = materialize(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "shared-ids")
     repeated = shared.limit(1).count() > 0
-    texts = rows.groupBy("same", "size").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("many", "bits", "keys")))
+    texts = rows.groupBy("same", "size").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("many", "print", "bits", "keys")))
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     keys = texts.where(F.col("many") >= k).select("bits", F.explode("keys").alias("key"))
     met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_verified(check_bits), "a long, b long")
-    roots = connect(met)
+    roots = connect(met.union(_of_one_ball(texts.where(F.col("many") >= k))))
     placed = texts.where(F.col("many") >= k).join(roots.withColumnRenamed("node", "bits"), "bits", "left").select("node", "doc_id", "same", F.coalesce("root", "bits").alias("root"))
     crowded = placed.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
     candidates = materialize(placed.join(crowded, "root"), "candidates")

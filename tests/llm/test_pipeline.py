@@ -27,6 +27,24 @@ def test_near_copies_and_clean_documents(spark):
     assert kept == want
 
 
+def test_fingerprints_within_three_bits_are_candidates(spark):
+    """Without minimum hashes (no pair passes a check of less than none) SimHash alone finds its balls."""
+    from quillrow.llm import simhash
+
+    r = np.random.default_rng(8)
+    some = lambda n: [f"w{x}" for x in r.integers(0, 1 << 40, n)]
+    rows = []
+    for g in range(40):
+        base = some(600)
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + some(1 if g % 4 else 140)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bits = {x.doc_id: x.bits for x in simhash.fingerprints(df, 5).collect()}
+    near = {2 * g + 1 for g in range(40) if ((bits[2 * g] ^ bits[2 * g + 1]) & (1 << 64) - 1).bit_count() <= 3}
+    assert 20 < len(near) < 40
+    assert {x.doc_id for x in near_copies.one_of_each(df, check_bits=-1).collect()} == {i for i, _ in rows} - near
+    assert {x.doc_id for x in near_copies.one_of_each(df).collect()} == {2 * g for g in range(40)}
+
+
 @pytest.mark.parametrize("block", [2, 5, 256])
 def test_large_clusters_in_small_blocks(spark, block):
     """Chains and stars of one cluster: components must be those of comparing all pairs."""
