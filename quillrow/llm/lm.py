@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .textbatch import LOWER, Texts, mix, span_hashes, words
 from .units import Unit, pack, together, unpack
-from .workspace import materialize, release
+from .workspace import dropping_shuffles, materialize, release
 
 #: The hash that stands for the end token: no word has it but by chance, like any other hash.
 END, START = np.uint64(0x5EED0E4D00000001), np.uint64(0x5EED0E4D00000002)
@@ -365,14 +365,15 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     known: list[DataFrame] = []
     discounts: list[float] = []
     stats = None
-    for n in range(order, 0, -1):
-        sent = together(units, known[-1]).applyInArrow(_below(n, parts), _SENT) if known else units.mapInArrow(_top(n, parts), _SENT)
-        added = sent.repartition(parts, "part").groupBy("part").applyInArrow(add_up, _ANSWER)
-        known.append(materialize(added, f"lm-{n}"))
-        del sent, added
-        release(spark)
-        stats = known[-1].select(*(F.sum(F.col("stats")[k]) for k in range(4))).first()
-        discounts.append(discount(stats[0] or 0, stats[1] or 0))
+    with dropping_shuffles(spark):
+        for n in range(order, 0, -1):
+            sent = together(units, known[-1]).applyInArrow(_below(n, parts), _SENT) if known else units.mapInArrow(_top(n, parts), _SENT)
+            added = sent.repartition(parts, "part").groupBy("part").applyInArrow(add_up, _ANSWER)
+            known.append(materialize(added, f"lm-{n}"))
+            del sent, added
+            release(spark)
+            stats = known[-1].select(*(F.sum(F.col("stats")[k]) for k in range(4))).first()
+            discounts.append(discount(stats[0] or 0, stats[1] or 0))
     model = Model(stats[3] or 0, stats[2] or 0, discounts[::-1])
     answers = known[0]
     for other in known[1:]:

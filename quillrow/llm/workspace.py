@@ -6,6 +6,8 @@ import atexit
 import gc
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,28 @@ def _clean() -> None:
             return
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, every write or action deletes its shuffle files as it ends.
+
+    ``release`` can only ask the garbage collector: what still refers to a plan, such as a listener
+    that lags behind, keeps the plan's files.  Make tables that are returned outside, or their
+    second reader finds no files and runs the stages again.
+    """
+    old = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, old)
+
+
 def release(spark: SparkSession) -> None:
     """Let the context cleaner drop the shuffle files of plans that are no longer referred to.
 

@@ -1,10 +1,12 @@
+from pathlib import Path
+
 import brute
 import numpy as np
 import pyarrow as pa
 import pytest
 from cases import LONG, ODD, SMALL
 
-from quillrow.llm import decontamination, lm, mixing, pii, quality, repeats, secrets, simhash, token_counts, toxicity
+from quillrow.llm import decontamination, lm, mixing, pii, quality, repeats, secrets, simhash, token_counts, toxicity, workspace
 from quillrow.llm.suffix_array import common_prefixes, suffix_array
 from quillrow.llm.textbatch import slices
 from quillrow.llm.units import unpack
@@ -371,6 +373,28 @@ def test_language_model_is_the_backoff_of_all_ngrams(documents, texts, monkeypat
         assert abs(sum(chance(h, w) for w in [*vocabulary, "never met"]) - 1) < 1e-9
 
 
+def test_language_model_keeps_no_shuffle_files(spark, documents, monkeypatch):
+    """Each level's shuffle files go as it is written, though the driver collects no garbage."""
+    import time
+
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {f.name for d in folders for f in Path(d).rglob("shuffle_*")}
+    before, left = files(), []
+
+    def look(spark):
+        end = time.monotonic() + 3
+        while files() - before and time.monotonic() < end:
+            time.sleep(0.1)
+        left.append(len(files() - before))
+
+    monkeypatch.setattr(lm, "UNIT", 1 << 16)
+    monkeypatch.setattr(lm, "release", look)
+    setting = spark.conf.get(workspace._CLEANUP, None)
+    lm.score(documents)
+    assert left == [0] * lm.ORDER
+    assert spark.conf.get(workspace._CLEANUP, None) == setting
+
+
 def test_language_model_without_training_texts(spark):
     ids = [i for i in range(200) if lm.held_out(pa.array([i]))[0]][:3]
     df = spark.createDataFrame([(ids[0], "a b"), (ids[1], None), (ids[2], "b")], "doc_id bigint, text string")
