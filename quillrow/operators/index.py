@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.errors import Kind, QuillError
@@ -70,25 +70,16 @@ class RecordIndex:
     def generate(cls, df: DataFrame, order: str, source: str, folder: str, fmt: Format = CSV) -> RecordIndex:
         """Write the rows in order as one file with a header, and its index, from one pass of encoding."""
         from ..functions.encode import header
-        from ..sources.writer import place, with_offsets
+        from ..sources.writer import before, ordered, place
 
         spark = df.sparkSession
-        placed = with_offsets(df, order, fmt)
         head = (BOM if fmt.write_bom else b"") + header(df.columns, fmt)
-        lines = placed.withColumn("feeds", F.length(F.decode("line", "ISO-8859-1")) - F.length(F.replace(F.decode("line", "ISO-8859-1"), F.lit("\n"), F.lit(""))))
-        lines.select("byte", "line", "feeds").repartitionByRange("byte").sortWithinPartitions("byte").write.mode("overwrite").parquet(f"{folder}/encoded")
-        written = spark.read.parquet(f"{folder}/encoded")
-        place(written.orderBy("byte").select("line"), source, head)
-        # numbers and lines by range of the byte: sums of the ranges first, then within each
-        ranged = written.select("byte", "feeds").repartitionByRange("byte").withColumn("part", F.spark_partition_id())
-        sums = ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("feeds").alias("f"))
-        ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        base = sums.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n"), F.coalesce(F.sum("f").over(ahead), F.lit(0)).alias("f"))
-        within = Window.partitionBy("part").orderBy("byte").rowsBetween(Window.unboundedPreceding, -1)
-        rows = ranged.join(base, "part").select(
-            (F.col("n") + F.count("*").over(within) + 1).alias("record"),
-            "byte",
-            (F.lit(1 + head.count(b"\n")) + F.col("f") + F.coalesce(F.sum("feeds").over(within), F.lit(0))).alias("line"),
+        written = ordered(df, order, fmt, f"{folder}/encoded")
+        place(written.orderBy("_at").select("line"), source, head)
+        rows = before(written.select("_at", "_size", "_feeds"), "_size", "_feeds").select(
+            (F.col("_n") + 1).alias("record"),
+            (F.lit(len(head)) + F.col("_size")).alias("byte"),
+            (F.lit(1 + head.count(b"\n")) + F.col("_feeds")).alias("line"),
         )
         first = spark.createDataFrame([(0, 3 if fmt.write_bom else 0, 1)], "record bigint, byte bigint, line bigint")
         first.union(rows).repartitionByRange("record").sortWithinPartitions("record").write.mode("overwrite").parquet(f"{folder}/records")

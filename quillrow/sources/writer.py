@@ -183,17 +183,39 @@ def document(df: DataFrame, fmt: Format = CSV, options: EmitOptions | None = Non
     return head + b"".join(bytes(r.line) for r in encoded(df, fmt).collect())
 
 
-def with_offsets(df: DataFrame, order: str, fmt: Format = CSV) -> DataFrame:
-    """(order, line, byte): each record with its place in the one document, by a distributed sum.
+def ordered(df: DataFrame, order: str, fmt: Format, folder: str) -> DataFrame:
+    """(order, line, _at, _size, _feeds): the records, written to ``folder`` by range of the order.
+
+    ``_at`` grows with the order; its high bits are the range.  Ranges are cut once: cut again, as for a plan that
+    stands twice in a query, they can be others, and their number too.
+    """
+    lines = encoded(df, fmt, keep=(order,)).repartitionByRange(F.col(f"`{order}`")).sortWithinPartitions(F.col(f"`{order}`"))
+    text = F.decode("line", "ISO-8859-1")
+    feeds = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
+    lines.select("*", F.monotonically_increasing_id().alias("_at"), F.octet_length("line").cast("long").alias("_size"), feeds.alias("_feeds")).write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
 
-    Sizes are summed by range of the order first, then within each range; no task sees all rows.
+def before(records: DataFrame, *columns: str) -> DataFrame:
+    """Records of ``ordered`` with the number of records, as ``_n``, and the sums of columns over all before each.
+
+    Ranges are summed first, then the records within each; no task sees all rows.
     """
     from pyspark.sql import Window
 
+    part, ahead = F.shiftright("_at", 33), Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = records.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), *(F.sum(c).alias(c) for c in columns))
+    base = sums.select(F.col("_part").alias("_of"), *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_base{c}") for c in ("_n", *columns)))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.col("_base_n") + F.col("_at") - F.shiftleft("_part", 33)
+    own = [F.col(f"_base{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns]
+    kept = [c for c in records.columns if c not in columns]
+    return records.withColumn("_part", part).join(base, F.col("_part") == F.col("_of")).select(*(F.col(f"`{c}`") for c in kept), n.alias("_n"), *(v.alias(c) for v, c in zip(own, columns)))
+
+
+def with_offsets(df: DataFrame, order: str, fmt: Format = CSV) -> DataFrame:
+    """(order, line, byte): each record with its place in the one document, by a distributed sum over
+    records that are written first."""
     head = len(header(df.columns, fmt)) + (3 if fmt.write_bom else 0)
-    lines = encoded(df, fmt, keep=(order,)).withColumn("size", F.octet_length("line").cast("long"))
-    ranged = lines.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
-    totals = ranged.groupBy("part").agg(F.sum("size").alias("sum"))
-    before = totals.withColumn("base", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "base")
-    within = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(before, "part").select(order, "line", (F.lit(head) + F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("byte"))
+    records = ordered(df, order, fmt, files.temporary(df.sparkSession, "ordered"))
+    return before(records.select(F.col(f"`{order}`"), "line", "_at", "_size"), "_size").select(F.col(f"`{order}`"), "line", (F.lit(head) + F.col("_size")).alias("byte"))

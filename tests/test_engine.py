@@ -453,6 +453,27 @@ def test_an_index_generated_with_its_document(spark, tmp_path, name):
     assert sorted(int(r.id) for r in made.read(10, 13, fmt).collect()) == [9, 10, 11]
 
 
+def test_an_index_and_offsets_of_ranges_that_are_coalesced(spark, tmp_path):
+    """Ranges of rows with text are of other numbers than those of the sizes alone."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "20"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        text = F.concat_ws("", F.transform(F.sequence(F.lit(0), (F.col("id") % 13).cast("int")), lambda k: F.sha2((F.col("id") * 100 + k).cast("string"), 256)))
+        df = spark.range(0, 4000, 1, 3).select("id", F.concat(text, F.when(F.col("id") % 5 == 0, "a\nb").otherwise("")).alias("v"))
+        path, body = str(tmp_path / "d.csv"), writer.document(df.orderBy("id"))
+        made = RecordIndex.generate(df, "id", path, str(tmp_path / "one"))
+        rows = lambda i: sorted(tuple(r) for r in i.table.select("record", "byte", "line").collect())
+        assert files.read(path, 0, len(body) + 1) == body
+        assert len(made) == 4001 and rows(made) == rows(RecordIndex.build(spark, path, str(tmp_path / "two")))
+        places = writer.with_offsets(df, "id").collect()
+        assert len(places) == 4000 and all(body[r.byte : r.byte + len(r.line)] == bytes(r.line) for r in places)
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace
 
