@@ -342,7 +342,8 @@ def _before(fields, byte: int):
 def parse_column(df: DataFrame, column: str, fmt: Format = CSV, options: ParseOptions | None = None, *, columns: list[int | str] | None = None, predicate: Predicate | None = None, text: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each value of a binary or string column is one record; its fields become columns.
 
-    Records of a batch are parsed together; ``keep``: other columns that go along.  ``options.headers``
+    Records of a batch are parsed together, a block of bytes at a time, since the parser's arrays are many times
+    the block; a longer record is a block of its own.  ``keep``: other columns that go along.  ``options.headers``
     gives the names (a tuple), or False for fields by position.
     """
     options = options or ParseOptions(headers=False)
@@ -353,33 +354,44 @@ def parse_column(df: DataFrame, column: str, fmt: Format = CSV, options: ParseOp
     schema = ", ".join([*(f"`{k}` {own[k]}" for k in keep), schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = Plain(fmt, options, wanted, options.expected())
         for rows in batches:
             values = rows.column(column)
             values = values.cast(pa.large_binary()) if not pa.types.is_large_binary(values.type) else values
             values = values.fill_null(b"")
-            offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-            body = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if values.buffers()[2] is not None else np.zeros(0, np.uint8)
-            offsets = offsets - offsets[0]
-            plain = Plain(fmt, options, wanted, options.expected())
-            own = plain.able and len(body) and offsets[1] > 0 and (np.diff(offsets) > 0).all() and (body[offsets[1:] - 1] == 10).all()
-            result = plain.read(body.tobytes(), 0, 1, 0) if own else None
-            if result is not None and result[1] == len(values):
-                out, kept = result[0], np.arange(len(values)) if plain.kept is None else plain.kept
-                if out is None:
-                    continue
-            else:
-                out, kept = batch(_one_each(body, offsets, fmt, options), wanted)
-            if keep:
-                also = rows.select(list(keep))
-                also = also if len(kept) == len(values) else also.take(pa.array(kept))
-                out = pa.RecordBatch.from_arrays([*also.columns, *out.columns], [*keep, *out.schema.names])
-            yield out
+            whole = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+            for at, end in _runs(whole, BLOCK):
+                offsets = whole[at : end + 1]
+                body = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if values.buffers()[2] is not None else np.zeros(0, np.uint8)
+                offsets = offsets - offsets[0]
+                own = plain.able and len(body) and offsets[1] > 0 and (np.diff(offsets) > 0).all() and (body[offsets[1:] - 1] == 10).all()
+                result = plain.read(body.tobytes(), 0, 1, 0) if own else None
+                if result is not None and result[1] == end - at:
+                    out, kept = result[0], np.arange(end - at) if plain.kept is None else plain.kept
+                    if out is None:
+                        continue
+                else:
+                    out, kept = batch(_one_each(body, offsets, fmt, options, at), wanted)
+                if keep:
+                    also = rows.select(list(keep)).slice(at, end - at)
+                    also = also if len(kept) == end - at else also.take(pa.array(kept))
+                    out = pa.RecordBatch.from_arrays([*also.columns, *out.columns], [*keep, *out.schema.names])
+                yield out
 
     return df.select(column, *[k for k in keep if k != column]).mapInArrow(run, schema)
 
 
-def _one_each(body: np.ndarray, offsets: np.ndarray, fmt: Format, options: ParseOptions):
-    """The batch's records, which must begin where its values do."""
+def _runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of values of up to ``limit`` bytes together, one at least."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def _one_each(body: np.ndarray, offsets: np.ndarray, fmt: Format, options: ParseOptions, at: int = 0):
+    """The records of values, which must begin where those do; ``at``: the first value's number."""
     fields, error = read_block(body, fmt, options)
     if error is None and len(fields.start) == len(offsets) - 1 and (fields.start == offsets[:-1]).all():
         return fields
@@ -388,7 +400,7 @@ def _one_each(body: np.ndarray, offsets: np.ndarray, fmt: Format, options: Parse
     from ..sources.parser import Record
 
     raw, rows = body.tobytes(), []
-    for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+    for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist()), at):
         parser = Parser(raw[s:e], fmt, options, record=i, first=False)
         r = parser.next()
         if r is not None and (more := parser.next()) is not None:

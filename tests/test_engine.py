@@ -474,6 +474,39 @@ def test_an_index_and_offsets_of_ranges_that_are_coalesced(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _peak_of_a_batch(fmt: fm.Format, texts: list[bytes]) -> tuple[int, list]:
+    """Bytes that the parser takes besides a batch of records with keys, and the rows it gives."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    df = SimpleNamespace(schema=[SimpleNamespace(name="k", dataType=SimpleNamespace(simpleString=lambda: "bigint"))], select=lambda *_: df, mapInArrow=lambda run, _: run)
+    run = parse_column(df, "line", fmt, ParseOptions(headers=("id", "text")), keep=("k",))
+    lines = [fmt.delimiter.join([b"%d" % n, b'"' + t.replace(b'"', b'""') + b'"']) + fmt.ending for n, t in enumerate(texts)]
+    columns = [pa.array(lines, pa.binary()), pa.array(range(len(texts)))]
+    rows = pa.RecordBatch.from_arrays([pa.concat_arrays([c, c]).slice(7, len(c)) for c in columns], ["line", "k"])  # as a slice of a longer one
+    tracemalloc.start()
+    try:
+        got = list(run(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    return peak, [tuple(r.values()) for r in pa.Table.from_batches(got).to_pylist()]
+
+
+@pytest.mark.parametrize("name", ["postgres_copy_csv"])
+def test_a_batch_is_parsed_in_blocks(name):
+    """What the parser takes besides a batch doesn't grow with the batch."""
+    fmt, peaks = fm.PRESETS[name], []
+    for many in (2000, 4000):
+        texts = [b"word " * (n % 700) + b'"a", b;\tc\nd ' * (n % 3) for n in range(many)]
+        peak, rows = _peak_of_a_batch(fmt, texts)
+        peaks.append(peak)
+        assert rows == [(n, str(n), texts[n].decode()) for n in [*range(7, many), *range(7)]]
+    assert peaks[1] < 1.3 * peaks[0]
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     from types import SimpleNamespace
 
