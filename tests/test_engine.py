@@ -495,7 +495,7 @@ def _peak_of_a_batch(fmt: fm.Format, texts: list[bytes]) -> tuple[int, list]:
     return peak, [tuple(r.values()) for r in pa.Table.from_batches(got).to_pylist()]
 
 
-@pytest.mark.parametrize("name", ["postgres_copy_csv", "semicolon", "csv", "commented_csv", "tsv", "python_csv"])
+@pytest.mark.parametrize("name", ["postgres_copy_csv", "semicolon", "csv", "commented_csv", "tsv", "python_csv", "excel"])
 def test_a_batch_is_parsed_in_blocks(name):
     """What the parser takes besides a batch doesn't grow with the batch."""
     fmt, peaks = fm.PRESETS[name], []
